@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmatch.llm import decontaminate, packing, simple8b
+from lexmatch.llm import decontaminate, extract, grading, packing, simhash, simple8b
 from lexmatch.llm._common import table
 
 
+def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -19,9 +23,27 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), F.col("_contaminated").alias("contaminated"))
 
 
+def op4_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = grading.classify(docs, grading.quality_grade(table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_keep").alias("keep"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.digest_ids(spark, simple8b.write_ids(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_packing": op2_packing, "op3_decontamination": op3_decontamination, "op9_simple8b": op9_simple8b}
+QUERIES = {
+    "op1_extraction": op1_extraction,
+    "op2_packing": op2_packing,
+    "op3_decontamination": op3_decontamination,
+    "op4_grading": op4_grading,
+    "op6_simhash": op6_simhash,
+    "op9_simple8b": op9_simple8b,
+}
 ORACLES: dict[str, str] = {}
