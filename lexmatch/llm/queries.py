@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmatch.llm import decontaminate, extract, grading, packing, simhash, simple8b
+from lexmatch.llm import decontaminate, extract, grading, packing, secrets, simhash, simple8b
 from lexmatch.llm._common import table
 
 
@@ -29,6 +29,10 @@ def op4_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_grade").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_keep").alias("keep"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.cluster(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -43,7 +47,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_decontamination": op3_decontamination,
     "op4_grading": op4_grading,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op9_simple8b": op9_simple8b,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle()}
