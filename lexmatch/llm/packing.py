@@ -117,18 +117,10 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, min_cut: int
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made, _ = _common.materialize(rows.mapInArrow(first, f"{_DDL}, part long, ids binary"), "pack")
-    done = made.where("part is null").select(*PIECES.names)
-    parts = made.where("part is not null").agg(F.max("part").alias("m")).first()
-    level, n = 1, (parts["m"] or 0) + 1
-    waiting = made.where("part is not null")
-    while True:
-        last = n <= fan_in
-        merged = _merge(waiting, fan_in, level, last, Packer(size, windows, min_cut))
-        if last:
-            return done.unionByName(merged.select(*PIECES.names))
-        merged, _ = _common.materialize(merged, "pack")
-        done = done.unionByName(merged.where("part is null").select(*PIECES.names))
-        waiting, level, n = merged.where("part is not null"), level + 1, -(-n // fan_in)
+    done, waiting = made.where("part is null").select(*PIECES.names), made.where("part is not null")
+    n = (waiting.agg(F.max("part").alias("m")).first()["m"] or 0) + 1
+    merged = _merge(waiting, -(-n // fan_in), Packer(size, windows, min_cut))
+    return done.unionByName(merged)
 
 
 def _open(packer: Packer, part: int) -> Iterator[tuple]:
@@ -137,16 +129,16 @@ def _open(packer: Packer, part: int) -> Iterator[tuple]:
             yield doc_id, start, len(ids) // 4, 0, doc_tokens, 0, 0, part, ids
 
 
-def _merge(waiting: DataFrame, fan_in: int, level: int, last: bool, packer: Packer) -> DataFrame:
-    """Packs the open windows' pieces of each fan_in parts again, longest first; at the last level nothing stays open."""
+def _merge(waiting: DataFrame, groups: int, packer: Packer) -> DataFrame:
+    """Packs the open windows' pieces of each group of partitions again, longest first, and joins what stays open."""
     size, windows, min_cut = packer.size, packer.windows, packer.min_cut
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        part, own = key[0].as_py(), Packer(size, windows, min_cut)
+        own = Packer(size, windows, min_cut)
         pieces = sorted(zip(*(group.column(x).to_pylist() for x in ("doc_id", "start", "ids", "doc_tokens"))), key=lambda x: (-len(x[2]), x[0] is None, x[0] or 0, x[1], x[2]))
-        sequences = [s for x in pieces for s in own.add(*x)] + (own.close() if last else [])
-        rows = [(*x, None, None) for x in _rows(sequences, (level << 56) | (part << 32))] + list(_open(own, part))
-        return pa.Table.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(OPEN)], schema=OPEN)
+        rows = [*_rows((s for x in pieces for s in own.add(*x)), (1 << 56) | (key[0].as_py() << 32))]
+        rows += _rows(own.close(), (2 << 56) | (key[0].as_py() << 32))
+        return pa.Table.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(PIECES)], schema=PIECES)
 
-    grouped = waiting.withColumn("part", F.expr(f"part div {fan_in}"))
-    return grouped.groupBy("part").applyInArrow(merge, f"{_DDL}, part long, ids binary")
+    grouped = waiting.withColumn("part", F.expr(f"part % {groups}"))
+    return grouped.groupBy("part").applyInArrow(merge, _DDL)
