@@ -1,2 +1,55 @@
+"""A training corpus from raw documents: grade, drop near-copies, decontaminate, hide secrets, pack.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next one's docs. All but
+the last return the columns of documents; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmatch.llm import _common, decontaminate, grading, packing, secrets, simhash
+
+#: Shingles as in the operator; fingerprints within two bits more are linked, so its classes all are found, and more near-copies with them.
+NEAR_WORDS, NEAR_BITS = 4, 6
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose probability of the highest grade reaches the threshold."""
+    labels = grading.quality_grade(_common.table(spark, sf_dir, "labels"))
+    return grading.classify(docs, labels).where("_keep").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near-copies, that with the smallest id; of rows that share it, the smallest text."""
+    return simhash.representatives(docs, NEAR_WORDS, NEAR_BITS)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more are words of benchmark passages."""
+    found = decontaminate.find(docs, _common.table(spark, sf_dir, "benchmark"))
+    return found.where("not _contaminated").select(*docs.columns)
+
+
+def hidden_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in texts; all documents stay."""
+    made = secrets.redact(docs)
+    return made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("near-copies", near_copies), ("decontamination", contamination), ("secrets", hidden_secrets), ("packing", packed)]
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written to the shared folder and read again."""
+    docs = _common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = _common.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
