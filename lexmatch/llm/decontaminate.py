@@ -1,24 +1,26 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The patterns are the windows of `window` consecutive words of the benchmark's items; an item of fewer words is one window. The
-alphabet is words: a shift table of blocks of two words says how far the search may skip (up to window - 1 words at once), a
-shift of zero leads to the bucket of the windows that end in this block, there a hash of the first words selects the windows
-that may begin here, and comparing all words confirms an occurrence. Windows of one length share tables; lengths below two use
-blocks of one word.
+alphabet is words: a shift table of blocks of two words says how far the search may skip (up to window - 1 words at once); a shift
+of zero leads to the bucket of the windows with this last block and these first words, and comparing all words confirms an
+occurrence. Windows of one length share tables; lengths below two use blocks of one word. A window is kept as its place in its
+item, so the tables take a few hundred bytes a window, whatever its length.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmatch.llm import _common
+
 WINDOW = 13
-#: Bytes of item text searched at once; a larger benchmark is searched in blocks of about so much each.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text whose tables a task holds; a larger benchmark is searched for in blocks of about so much each, one after another.
+BLOCK_BYTES = 4 << 20
+_FIRST = 3
 #: ASCII letters to lower case; all other ASCII but digits to space. Bytes from 0x80 on stay, so words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+.
 _TABLE = bytes(ord(" ") if i < 128 and not chr(i).isalnum() else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -29,62 +31,82 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search for windows of one length. add() them all, then occurrences() in any number of documents."""
+    """Search for windows of one length. add() items, then occurrences() in any number of documents."""
 
     def __init__(self, length: int) -> None:
         self.length, self.block = length, min(2, length)
         self.longest = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict = {}  # last block -> first words -> [(window, items)]
+        self.shift: dict[bytes, int] = {}
+        self.buckets: dict[int, list[tuple[int, int] | tuple[int, int, set[str]]]] = {}
+        self.items: list[tuple[str, list[bytes]]] = []
 
-    def _key(self, at: list[bytes], end: int) -> bytes:
+    def _end(self, at: list[bytes], end: int) -> bytes:
         return at[end] if self.block == 1 else at[end - 1] + b" " + at[end]
 
-    def add(self, window: tuple[bytes, ...], item: str) -> None:
-        for end in range(self.block - 1, self.length):
-            key, far = self._key(window, end), self.length - 1 - end
-            if far < self.shift.get(key, self.longest):
-                self.shift[key] = far
-        same = self.buckets.setdefault(self._key(window, self.length - 1), {}).setdefault(hash(window[:3]), {})
-        same.setdefault(window, set()).add(item)
+    def _bucket(self, at: list[bytes], first: int) -> int:
+        last = first + self.length
+        return hash((*at[first : min(first + _FIRST, last)], at[last - self.block], at[last - 1]))
+
+    def add(self, item: str, text: list[bytes]) -> None:
+        """Adds all windows of an item. A block's shift is its distance from the end of the first window that holds it."""
+        number, length, shift = len(self.items), self.length, self.shift
+        self.items.append((item, text))
+        for end in range(self.block - 1, len(text)):
+            key, far = self._end(text, end), max(0, length - 1 - end)
+            if far < shift.get(key, self.longest):
+                shift[key] = far
+        for first in range(len(text) - length + 1):
+            bucket = self.buckets.setdefault(self._bucket(text, first), [])
+            for i, (other, at, *names) in enumerate(bucket):
+                if self.items[other][1][at : at + length] == text[first : first + length]:
+                    if names:
+                        names[0].add(item)
+                    elif self.items[other][0] != item:
+                        bucket[i] = (other, at, {self.items[other][0], item})
+                    break
+            else:
+                bucket.append((number, first))
 
     def occurrences(self, text: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """(first word, items) of each place where a window occurs."""
         length, longest, shift, n = self.length, self.longest, self.shift.get, len(text)
-        end = length - 1
-        if self.block == 1:
-            while end < n:
-                if far := shift(text[end], longest):
-                    end += far
-                    continue
-                yield from self._at(text, end)
-                end += 1
-            return
+        pairs, end = self.block == 2, length - 1
         while end < n:
-            if far := shift(text[end - 1] + b" " + text[end], longest):
+            if far := shift(text[end - 1] + b" " + text[end] if pairs else text[end], longest):
                 end += far
                 continue
-            yield from self._at(text, end)
+            first = end - length + 1
+            for other, at, *names in self.buckets.get(self._bucket(text, first), ()):
+                item, own = self.items[other]
+                if own[at : at + length] == text[first : end + 1]:
+                    yield first, names[0] if names else {item}
+                    break
             end += 1
 
-    def _at(self, text: list[bytes], end: int) -> Iterator[tuple[int, set[str]]]:
-        first = end - self.length + 1
-        bucket = self.buckets[self._key(text, end)].get(hash(tuple(text[first : min(first + 3, end + 1)])))
-        if bucket and (items := bucket.get(tuple(text[first : end + 1]))):
-            yield first, items
-
 
 def build(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
     """A searcher for each window length that the items (id, text) have."""
     found: dict[int, WuManber] = {}
+    same: dict[bytes, bytes] = {}  # one object for equal words
     for item, text in items:
-        own = words(text)
-        length = min(window, len(own))
-        for i in range(len(own) - length + 1 if length else 0):
-            found.setdefault(length, WuManber(length)).add(tuple(own[i : i + length]), item)
+        own = [same.setdefault(x, x) for x in words(text)]
+        if own:
+            length = min(window, len(own))
+            found.setdefault(length, WuManber(length)).add(item, own)
     return [found[k] for k in sorted(found)]
 
 
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ascending spans that cover the same words."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def search(text: str | None, searchers: list[WuManber]) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, hit spans of words (disjoint, ascending, end exclusive) and the items that occur."""
     own, spans, items = words(text), [], set()
@@ -92,19 +114,13 @@ def search(text: str | None, searchers: list[WuManber]) -> tuple[int, list[tuple
         for first, these in s.occurrences(own):
             spans.append((first, first + s.length))
             items |= these
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return len(own), merged, items
+    return len(own), _union(spans), items
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The benchmark's items in lists of about block_bytes. Items stream to the driver one Spark partition at a time; one list is held."""
     held, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
     for item, text in rows.toLocalIterator():
         held.append((item, text))
         size += len(text)
@@ -115,59 +131,58 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
         yield held
 
 
+_FOUND = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _scan(rows: DataFrame, at: int, block: list[tuple[str, str]], window: int, hits_only: bool) -> DataFrame:
+    """rows with _FOUND's columns from one block of items; hits_only: without the text, and only rows with hits."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)  # about block_bytes
+    kept = [i for i in range(len(rows.columns)) if not hits_only or i != at]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = build(sent.value, window)
+        for batch in batches:
+            found = [search(x.as_py(), own) for x in batch.column(at)]
+            if hits_only:
+                some = [i for i, x in enumerate(found) if x[1]]
+                batch, found = batch.take(pa.array(some, pa.int64())), [found[i] for i in some]
+            made = [pa.array([x[0] for x in found], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x[1]] for x in found], _SPANS), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))]
+            names = [batch.schema.names[i] for i in kept]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *made], names=[*names, "n_words", "spans", "items"])
+
+    return rows.mapInArrow(scan, ", ".join([*[f"{rows.columns[i]} {rows.dtypes[i][1]}" for i in kept], _FOUND]))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.05, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with the columns _n_words, _n_hit, _items (sorted ids of occurring items) and _contaminated; the input's columns stay.
 
     A document is contaminated if hits are some and at least min_share of its words. Null and empty texts have no words and no
     hits. Items with null id or text are ignored; repeated items count once; an empty benchmark hits nothing. Every word of
-    every text is searched, in a single narrow pass without a shuffle; a benchmark beyond block_bytes takes one search per
-    block within that pass, one block's tables in memory at a time being rebuilt by each task. Columns of the documents must not
-    begin with an underscore followed by one of the four names.
+    every text is searched. A benchmark of up to block_bytes takes a single narrow pass without a shuffle. Of a larger one the
+    driver and a task hold one block at a time: each further block is searched for in a pass of its own over numbered texts,
+    whose hits alone are kept and joined. The documents' columns may have any names but those four.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, item_id, item_text, block_bytes)]
-    share = 1 / min_share
     plain = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)])
     at = docs.columns.index(text_col)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [build(sent[0].value, window)] if len(sent) == 1 else None
-        for batch in batches:
-            n_words, n_hit, items, bad = [], [], [], []
-            found = [[0, [], set()] for _ in range(batch.num_rows)]
-            for k in range(len(sent)):
-                own = tables[0] if tables else build(sent[k].value, window)
-                for old, text in zip(found, batch.column(at)):
-                    n, spans, seen = search(text.as_py(), own)
-                    old[0], old[2] = n, old[2] | seen
-                    old[1] = _union(old[1], spans) if old[1] else spans
-            if not sent:
-                for old, text in zip(found, batch.column(at)):
-                    old[0] = len(words(text.as_py()))
-            for n, spans, seen in found:
-                hit = sum(b - a for a, b in spans)
-                n_words.append(n)
-                n_hit.append(hit)
-                items.append(sorted(seen))
-                bad.append(hit > 0 and share * hit >= n)
-            arrays = [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "n_words", "n_hit", "items", "contaminated"])
-
-    extra = "n_words long, n_hit long, items array<string>, contaminated boolean"
-    fields = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
-    out = plain.mapInArrow(scan, f"{fields}, {extra}")
-    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)], *[F.col(x).alias(f"_{x}") for x in ("n_words", "n_hit", "items", "contaminated")])
-
-
-def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for x, y in sorted([*a, *b]):
-        if out and x <= out[-1][1]:
-            out[-1] = (out[-1][0], max(y, out[-1][1]))
-        else:
-            out.append((x, y))
-    return out
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    parts = blocks(benchmark, item_id, item_text, block_bytes)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        out = _scan(plain, at, first, window, False)
+    else:
+        numbered, _ = _common.materialize(plain.withColumn("row", F.monotonically_increasing_id()), "texts")
+        base = _scan(numbered, at, first, window, False)
+        texts, hits = numbered.select("row", f"c{at}"), None
+        while second is not None:
+            more, _ = _common.materialize(_scan(texts, 1, second, window, True), "hits")
+            hits = more if hits is None else hits.unionByName(more)
+            second = next(parts, None)
+        gathered = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))  # a row for each block at most
+        joined = base.join(gathered, "row", "left")
+        add = lambda a, b, kind: F.concat(a, F.coalesce(b, F.array().cast(kind)))
+        out = joined.withColumn("spans", F.array_sort(add("spans", F.col("more_spans"), "array<struct<a:long,b:long>>"))).withColumn("items", F.array_sort(F.array_distinct(add("items", F.col("more_items"), "array<string>"))))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"))
+    out = out.withColumn("n_hit", F.aggregate("spans", start, step, lambda s: s["n"]))
+    bad = (F.col("n_hit") > 0) & (F.col("n_hit") * (1 / min_share) >= F.col("n_words"))
+    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)], F.col("n_words").alias("_n_words"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"), bad.alias("_contaminated"))
