@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmatch.llm import _common, tokens
 
-SIZE, WINDOWS, MIN_CUT, FAN_IN = 1024, 64, 16, 32
+SIZE, WINDOWS, MIN_CUT, FAN_IN = 1024, 64, 16, 8
 PIECES = pa.schema([("doc_id", pa.int64()), *[(x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 OPEN = pa.schema([*PIECES, ("part", pa.int64()), ("ids", pa.binary())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
