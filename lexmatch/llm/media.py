@@ -202,5 +202,6 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fill = F.when(size == 0, F.lit(UNIT)).otherwise((UNIT - size % UNIT) % UNIT)
     digest = F.sha2(F.concat("data", F.unhex(F.repeat(F.lit("FF"), fill))), 256)
     pages = held.select(F.struct("doc_id", size.cast("long").alias("n_bytes")).alias("page_id"), F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>")).alias("html"))
-    found = resolve(sequences(pages), described(store(held, "data")))
+    features, _ = _common.materialize(described(store(held, "data")), "features")  # so the join reads plain tables, and hot digests can be split
+    found = resolve(sequences(pages), features)
     return found.select("id.doc_id", "id.n_bytes", *[x.split()[0] for x in _FEATURES.split(", ")[1:]])
