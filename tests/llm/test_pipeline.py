@@ -1,0 +1,94 @@
+"""The pipeline's stages against plain Python over the smallest tables, and the queries that have SQL against it."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from lexmatch.llm import _common, grading, queries, tokens
+from tests.conftest import DATA
+from tests.llm.test_decontaminate import brute as contamination
+from tests.llm.test_near_copies import roots, slow_fingerprint
+from tests.llm.test_secrets import brute as secret_spans
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
+    docs = _common.table(spark, sf_dir, "documents")
+    held = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        held.append(_common.materialize(stage(spark, held[-1], sf_dir), name.replace(" ", "-"))[0])
+    return held
+
+
+def texts(df):
+    return {x["doc_id"]: x["text"] for x in df.select("doc_id", "text").collect()}
+
+
+def test_columns_stay(stages):
+    for df in stages[1:5]:
+        assert df.dtypes == stages[0].dtypes
+    assert [x for x, _ in corpus_pipeline.STAGES] == ["quality classifier", "near-copies", "decontamination", "secrets", "packing"]
+
+
+def test_classifier_rejects(stages, spark, sf_dir):
+    labels = {x["doc_id"]: x["quality"] + 1 - x["toxic"] for x in _common.table(spark, sf_dir, "labels").collect()}
+    before, after = texts(stages[0]), texts(stages[1])
+    model = grading.fit(grading.rated(stages[0], grading.quality_grade(_common.table(spark, sf_dir, "labels"))))
+    assert {i for i, t in before.items() if model.tails(grading.features(t))[-1] >= grading.THRESHOLD} == set(after)
+    good, bad = [i for i in before if labels.get(i) == 2], [i for i in before if labels.get(i, 2) < 2]
+    assert sum(i in after for i in good) >= 0.97 * len(good) and sum(i not in after for i in bad) >= 0.8 * len(bad)  # of some ninety labels here
+
+
+def test_one_of_each_class_stays(stages):
+    before, after = texts(stages[1]), texts(stages[2])
+    ids = sorted(before)
+    f = [slow_fingerprint(before[i], corpus_pipeline.NEAR_WORDS) for i in ids]
+    up = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (f[a] ^ f[b]).bit_count() <= corpus_pipeline.NEAR_BITS])
+    assert {ids[i] for i, x in enumerate(up) if i == x} == set(after) and all(after[i] == before[i] for i in after)
+
+
+def test_contaminated_documents_go(stages, spark, sf_dir):
+    before, after = texts(stages[2]), texts(stages[3])
+    items = [(x["item_id"], x["text"]) for x in _common.table(spark, sf_dir, "benchmark").collect()]
+    found = {i: contamination(t, items, 13) for i, t in before.items() if i not in after or i % 9 == 0}  # slow: those that went, and some that stayed
+    assert all((hit > 0 and 20 * hit >= n) == (i not in after) for i, (n, hit, _) in found.items())
+
+
+def test_secrets_are_hidden(stages):
+    before, after = texts(stages[3]), texts(stages[4])
+    assert set(before) == set(after)
+    for i, t in before.items():
+        spans = secret_spans(t, 256)[1]
+        assert (after[i] == t) is not bool(spans) and all(t[a:b] not in after[i] or b - a < 16 for _, a, b in spans)
+    assert stages[4].where(F.length("text") != F.col("n_chars")).isEmpty()
+
+
+def test_packing_holds_all_that_is_left(stages, spark, sf_dir):
+    left, pieces = texts(stages[4]), stages[5].collect()
+    for i, t in left.items():
+        own = np.concatenate([np.frombuffer(tokens.encoder().encode(t), "<u4"), np.zeros(1, "<u4")])
+        mine = sorted((p["start"], p["length"], p["ids_crc32"]) for p in pieces if p["doc_id"] == i)
+        assert [p[0] for p in mine] == [sum(q[1] for q in mine[:k]) for k in range(len(mine))] and sum(p[1] for p in mine) == len(own)
+        assert all(zlib.crc32(own[a : a + n].astype("<u4").tobytes()) == c for a, n, c in mine)
+    assert corpus_pipeline.run(spark, sf_dir).count() == len(pieces)
+
+
+def test_all_queries_are_registered():
+    assert [f"op{n}" for n in range(1, 11)] == sorted((k.split("_")[0] for k in queries.QUERIES), key=lambda x: int(x[2:]))
+    assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, sf_dir).toPandas(), con.execute(queries.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(repr, got[columns].itertuples(index=False, name=None))) == sorted(map(repr, want[columns].itertuples(index=False, name=None)))
