@@ -3,10 +3,12 @@
 A lookup of many words is a similarity join. The planner picks how candidates are found; all of them are verified exactly:
 
 exact      k = 0: an equi-join.
-deletions  every edit takes at most one letter from either side, so words within k edits share a string left by at most k deletions
+pairs      for a workload of up to FEW_QUERIES words, which is counted first: it is sent to the dictionary's tasks and met there by
+           length, and the counts of letters, 128 bits to a word, rule out nearly all that is left before a distance is computed.
+           The dictionary is read once and nothing of it moves.
+deletions  for larger workloads. Every edit takes at most one letter from either side, so words within k edits share a string left by at most k deletions
            from each: an equi-join on such strings. For longer words only a prefix of 2k + 3 letters is used, which loses nothing, as
            edits that lie beyond it leave it as it is and those within it cost no more there.
-all pairs  every query against every term, for a dictionary or a workload of a few words only.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmatch.functions import distance
 
-#: Up to so many queries, their strings are sent to the dictionary's tasks; more are joined by a shuffle.
-BROADCAST_QUERIES = 5_000
+FEW_QUERIES = 5_000
 
 
 def exact(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -36,36 +37,68 @@ def variants(words: DataFrame, column: str, k: int) -> DataFrame:
     return words.withColumn("key", F.explode(F.transform(distance.deletions(_prefix(F.col(column), k), k), lambda x: F.xxhash64(x))))
 
 
-def candidates(queries: DataFrame, dictionary: DataFrame, k: int, few: bool) -> DataFrame:
-    """(query, term, freq), each once, among them all pairs within k edits whose query is one of queries."""
-    left = variants(queries.select("query").distinct(), "query", k)
-    right = variants(dictionary.select("term", "freq"), "term", k)
-    left = F.broadcast(left) if few else left
-    near = right.join(left, "key").where(F.abs(F.length("query") - F.length("term")) <= k)
-    return near.select("query", "term", "freq").distinct()
+def _by_deletions(queries: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
+    """(query, term, freq), each once, among them all pairs within k edits."""
+    near = variants(dictionary, "term", k).join(variants(queries, "query", k), "key")
+    return near.where(F.abs(F.length("query") - F.length("term")) <= k).select("query", "term", "freq").distinct().where(_plain(k) <= 2 * k)
+
+
+def _letters(word: Column, to: str) -> list[Column]:
+    """How often each letter (by its code modulo 32) occurs, up to four times, as 128 bits in two columns; an edit changes two bits at most.
+
+    A letter's occurrences set one more of its bits each: two in the first column, then two in the second.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+
+    def add(bits: Column, c: Column) -> Column:
+        bit = lambda high: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 32 + high)
+        has = lambda column, high: column.bitwiseAND(bit(high)) != 0
+        a, b = bits["a"], bits["b"]
+        first = F.when(~has(a, 0), a.bitwiseOR(bit(0))).otherwise(a.bitwiseOR(bit(32)))
+        second = F.when(~has(a, 32), b).when(~has(b, 0), b.bitwiseOR(bit(0))).otherwise(b.bitwiseOR(bit(32)))
+        return F.struct(first.alias("a"), second.alias("b"))
+
+    found = F.aggregate(F.split(word, ""), start, add)
+    return [found["a"].alias(f"{to}_a"), found["b"].alias(f"{to}_b")]
+
+
+def _by_pairs(queries: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
+    """As _by_deletions, for a workload that was counted."""
+    lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("query") - k), F.length("query") + k))
+    wanted = queries.select("query", *_letters(F.col("query"), "own"), lengths.alias("n"))
+    # few bytes but much work: spread over all tasks, where adaptive execution would put a small dictionary into one
+    spread = dictionary.repartition(int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    words = spread.select("term", "freq", F.length("term").alias("n"), *_letters(F.col("term"), "term"))
+    apart = F.expr("bit_count(own_a ^ term_a) + bit_count(own_b ^ term_b)")
+    # the distance exceeds the plain one by swaps alone, which leave letters as they are: the fewer letters agree, the less room for them
+    room = F.greatest(F.lit(k), F.lit(2 * k) - F.expr("shiftright(bit_count(own_a ^ term_a) + bit_count(own_b ^ term_b) + 1, 1)"))
+    near = words.join(F.broadcast(wanted), "n").where((apart <= 2 * k) & (_plain(k) <= room))
+    return near.select("query", "term", "freq")
+
+
+def _plain(k: int) -> Column:
+    """The Levenshtein distance of query and term, a very large number beyond 2k. It stands once in a condition, which is then computed last."""
+    return F.levenshtein("query", "term", 2 * k).bitwiseAND(0x7FFFFFFF)
 
 
 def lookup(queries: DataFrame, dictionary: DataFrame, k: int, strategy: str = "auto") -> DataFrame:
     """(query, term, freq, distance): every term within k edits of every query. Null queries match nothing; a repeated query counts once.
 
-    The empty query matches all terms of at most k letters. strategy: auto, deletions or pairs; auto takes deletions.
+    The empty query matches all terms of at most k letters. strategy: auto, deletions or pairs, which refuses a large workload.
     """
     if k < 0 or strategy not in ("auto", "deletions", "pairs"):
         raise ValueError(f"k {k} or strategy {strategy} is unknown")
     queries = queries.where("query is not null").select("query").distinct()
-    dictionary = dictionary.where("term is not null")
+    dictionary = dictionary.where("term is not null").select("term", "freq")
     if k == 0:
         return exact(queries, dictionary)
-    if strategy == "pairs":
-        # one side is stated to be small; it is counted, so a large one is refused and never sent to all tasks
-        n = queries.limit(BROADCAST_QUERIES + 1).count()
-        if n > BROADCAST_QUERIES:
-            raise ValueError(f"over {BROADCAST_QUERIES} queries; use deletions")
-        near = dictionary.join(F.broadcast(queries), F.abs(F.length("query") - F.length("term")) <= k)
-    else:
-        few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-        near = candidates(queries, dictionary, k, few)
-    return near.withColumn("distance", distance.within("query", "term", k)).where("distance is not null").select("query", "term", "freq", "distance")
+    few = strategy != "deletions" and queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    if strategy == "pairs" and not few:
+        raise ValueError(f"over {FEW_QUERIES} queries; use deletions")
+    near = _by_pairs(queries, dictionary, k) if few else _by_deletions(queries, dictionary, k)
+    # a generator, through which no filter moves into the join before it: the exact distance is for the few pairs that are left
+    found = F.filter(F.array(distance.within("query", "term", k)), lambda d: d.isNotNull())
+    return near.select("query", "term", "freq", F.explode(found).alias("distance"))
 
 
 class FuzzyDictionary:

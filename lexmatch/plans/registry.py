@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmatch.functions import bits, codec, distance
 from lexmatch.operators import automaton, fuzzy, layout, ordering
 from lexmatch.plans import sql
-from lexmatch.plans.stages import shared_dir, written
+from lexmatch.plans.stages import shared_dir, spread, written
 from lexmatch.sources import corpus, export, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' dictionary."""
-    return corpus.dictionary(read(spark, sf_dir, "documents"))
+    return corpus.dictionary(spread(read(spark, sf_dir, "documents").select("text")))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

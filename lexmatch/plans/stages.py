@@ -19,6 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: A table of fewer bytes than this is dealt out before costly work on each row, if few tasks read it.
+SMALL = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as it is, or dealt out to all cores if it is a small table that fewer tasks would read, as one file with one row group is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL and cores > 1 else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and no longer tied to the executors that made it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -38,7 +38,8 @@ def word_list(spark: SparkSession, words: list[str], freq: int = 0) -> DataFrame
 
 def words(table: DataFrame, column: str = "text") -> DataFrame:
     """Every word of a text column as `term`: runs of ASCII letters in lower case. Null texts have none."""
-    return table.select(F.explode(F.transform(F.regexp_extract_all(F.col(column), F.lit("[A-Za-z]+"), F.lit(0)), F.lower)).alias("term"))
+    parts = table.select(F.explode(F.split(F.col(column), "[^A-Za-z]+")).alias("word"))
+    return parts.where("word <> ''").select(F.lower("word").alias("term"))
 
 
 def dictionary(table: DataFrame, column: str = "text") -> DataFrame:
