@@ -189,13 +189,16 @@ def write_ids(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, id
 
 
 def read_blocks(spark, path: str) -> DataFrame:
-    """The blocks of a folder, each with `start`: the ids before it in all files. One row per file decides the files' starts."""
+    """The blocks of a folder, each with `start`: the ids before it in all files.
+
+    One row per file, of which there are as many as shuffle partitions at most, decides the files' starts; it goes to the blocks, which stay.
+    """
     blocks = spark.read.schema(BLOCKS_SCHEMA).parquet(path)
     tokens = F.aggregate("n_tokens", F.lit(0).cast("long"), lambda x, y: x + y)
     files = blocks.select("file_no", tokens.alias("n")).groupBy("file_no").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
     starts = files.select("file_no", F.coalesce(before, F.lit(0)).alias("file_start"))
-    return blocks.join(starts, "file_no").withColumn("start", F.col("file_start") + F.col("first_token"))
+    return blocks.join(F.broadcast(starts), "file_no").withColumn("start", F.col("file_start") + F.col("first_token"))
 
 
 def read_ids(spark, path: str) -> DataFrame:
