@@ -206,5 +206,6 @@ def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, s
     firsts, _ = _common.materialize(made.groupBy("fp").agg(F.min(order).alias("best")), "firsts")
     best = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     chosen, _ = _common.materialize(best.select(F.col("best.row").alias("row")), "chosen")
-    rows = held.join(chosen, "row", "left_semi")
+    # a sort-merge join at every size: a broadcast would only do for few rows, and so make small inputs look cheaper than they scale
+    rows = held.join(chosen.hint("merge"), "row", "left_semi")
     return rows.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)])
