@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmatch.llm import _common, decontaminate, grading, packing, secrets, simhash
+from lexmatch.llm import _common, decontaminate, grading, jaccard, packing, secrets
 
-#: Shingles as in the operator; fingerprints within two bits more are linked, so its classes all are found, and more near-copies with them.
+#: Links of fingerprints that the near-copies stage made before it compared shingles; a test still reads them.
 NEAR_WORDS, NEAR_BITS = 4, 6
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-copies, that with the smallest id; of rows that share it, the smallest text."""
-    return simhash.representatives(docs, NEAR_WORDS, NEAR_BITS)
+    """Keeps one document of each class linked by 0.8 or more of five-word shingles, that with the smallest id; of rows that share it, the smallest text."""
+    return jaccard.representatives(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,159 @@
+"""Near-copies by the Jaccard similarity of word shingles: MinHash bands propose, exact similarity of the whole sets decides.
+
+A pair of similarity s shares all six minima of a band with probability s^6; with 70 bands a pair of 0.8 is missed by all of them with
+a probability of 6e-10, a closer pair with less. Texts that share a band are chained, not paired, so a bucket costs as many rows as
+it has texts. The chains' components are taken only as groups to search: within each, sets are compared exactly, and a pair is linked
+if the shingles in both are at least 0.8 of those in either. Nothing below that is linked, however it was proposed.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lexmatch.llm import _common
+from lexmatch.llm.components import components
+
+WORDS, SEED, BANDS, ROWS = 5, 42, 70, 6
+LEAST = (4, 5)  #: similarity that links, as a fraction
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+_CHUNK = 512
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The different shingles' XXH64 values, sorted. No words: none. Fewer than `words`: one shingle."""
+    from xxhash import xxh64_intdigest
+
+    own = text.encode().translate(_LOWER).split() if text else []
+    n = max(1, len(own) - words + 1) if own else 0
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(own[i : i + words]), SEED) for i in range(n)), np.uint64, n))
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """A key for each band's minima; none for an empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(values):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(values), _CHUNK):
+        np.minimum(least, (_FACTORS[:, None] * values[at : at + _CHUNK]).min(axis=1), out=least)
+    return np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def linked(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
+    """For each set the number of the first one of its component, over all pairs whose similarity is `least` or more.
+
+    Sets this similar share one of their rarest shingles, as many as may be missing and one more. Each search goes from one set outward;
+    those it has found leave the lists, so a large class is not compared pair by pair.
+    """
+    num, den = least
+    sizes = np.array([len(x) for x in sets])
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    own = [np.sort(x) for x in np.split(rank[inverse], np.cumsum(sizes)[:-1])]
+    rare = [x[: len(x) - -(-num * len(x) // den) + 1] for x in own]
+    shingle, holder = np.concatenate(rare), np.repeat(np.arange(len(sets)), [len(x) for x in rare])
+    by = np.argsort(shingle, kind="stable")
+    shingle, holder = shingle[by], holder[by]
+    first, alive, marked, gone = np.arange(len(sets)), np.ones(len(sets), bool), np.zeros(len(counts), bool), 0
+    for i in range(len(sets)):
+        if not alive[i]:
+            continue
+        alive[i], front = False, [i]
+        gone += len(rare[i])
+        while front:
+            if 2 * gone > len(holder):
+                kept = alive[holder]
+                shingle, holder, gone = shingle[kept], holder[kept], 0
+            x = front.pop()
+            starts, ends = np.searchsorted(shingle, rare[x]), np.searchsorted(shingle, rare[x], "right")
+            near = [holder[a:b] for a, b in zip(starts, ends) if a < b]
+            if not near:
+                continue
+            near = np.unique(np.concatenate(near))
+            near = near[alive[near] & (num * sizes[near] <= den * sizes[x]) & (num * sizes[x] <= den * sizes[near])]
+            marked[own[x]] = True
+            for y in near:
+                both = np.count_nonzero(marked[own[y]])
+                if den * both >= num * (sizes[x] + sizes[y] - both):
+                    first[y], alive[y] = i, False
+                    gone += len(rare[y])
+                    front.append(y)
+            marked[own[x]] = False
+    return first
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        items, keys = [], []
+        for text in batch.column(3):
+            values = shingles(text.as_py())
+            items.append(xxh64_intdigest(values.tobytes(), SEED))
+            keys.append(bands(values).view(np.int64))
+        made = [*batch.columns[:3], pa.array(np.array(items, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(made, names=["row", "doc_id", "key", "item", "bands"])
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, item) sorted by k: each item with the one before it in its bucket."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, item = (c.to_numpy() for c in batch.columns)
+        if last is not None:
+            k, item = np.concatenate(([last[0]], k)), np.concatenate(([last[1]], item))
+        last = k[-1], item[-1]
+        same = np.flatnonzero(k[1:] == k[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(item[same]), pa.array(item[same + 1])], names=["a", "b"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = pa.array([shingles(x.as_py()).view(np.int64) for x in batch.column(2)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], values], names=["root", "item", "own"])
+
+
+def _classes(group: pa.Table) -> pa.Table:
+    item, own = group["item"].to_numpy(), group["own"].combine_chunks()
+    flat, at = own.flatten().to_numpy().view(np.uint64), np.cumsum(own.value_lengths().to_numpy())
+    first = linked(np.split(flat, at[:-1]))
+    return pa.table({"item": item, "root": item[first]})
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, for each class of linked rows: that with the smallest id.
+
+    Texts with the same set of shingles are one item before the bands; null and empty texts are copies of each other. Rows that share
+    the smallest id give the one with the smallest digest of its text, and of exact repeats one row stays. A null id comes after all
+    others. docs is written first with a number for each row, so all readers see the same numbers.
+    """
+    named = [F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)]
+    held, _ = _common.materialize(docs.select(F.monotonically_increasing_id().alias("row"), *named), "rows")
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}").cast("string"), F.lit(""))
+    own = held.select("row", F.col(f"c{docs.columns.index(id_col)}").cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
+    made, _ = _common.materialize(own.mapInArrow(_sketches, "row long, doc_id long, key string, item long, bands array<long>"), "sketches")
+    # an item's first row: least over the item, then over the class; both sums are partial before they move
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")
+    items, _ = _common.materialize(made.groupBy("item").agg(F.min(order).alias("best"), F.first("bands").alias("bands")), "items")
+    rows = items.select(F.explode("bands").alias("k"), "item").repartition("k").sortWithinPartitions("k", "item")
+    groups, _ = _common.materialize(components(rows.mapInArrow(_chains, "a long, b long")).withColumnRenamed("node", "item"), "groups")
+    # sort-merge joins at every size: broadcasts would only do for few rows, and so make small inputs look cheaper than they scale
+    members = groups.unionByName(groups.select(F.col("root").alias("item"), "root").distinct())
+    members = items.select("item", F.col("best.row").alias("row")).join(members.hint("merge"), "item").select("row", "root", "item")
+    texts = held.select("row", text.alias("text")).join(members.hint("merge"), "row").select("root", "item", "text")
+    sets = texts.mapInArrow(_sets, "root long, item long, own array<long>")
+    roots, _ = _common.materialize(sets.groupBy("root").applyInArrow(_classes, "item long, root long"), "classes")
+    best = items.select("item", "best").join(roots.hint("merge"), "item", "left").groupBy(F.coalesce("root", "item").alias("root")).agg(F.min("best").alias("best"))
+    chosen, _ = _common.materialize(best.select(F.col("best.row").alias("row")), "chosen")
+    kept = held.join(chosen.hint("merge"), "row", "left_semi")
+    return kept.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)])

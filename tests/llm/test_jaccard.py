@@ -1,0 +1,69 @@
+import random
+
+import corpus_pipeline
+from lexmatch.llm import jaccard
+from tests.llm.test_near_copies import roots
+
+
+def words_of(text):
+    own = text.encode().lower().split() if text else []
+    return {b" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set()
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def texts():
+    """Short and long texts with up to a fifth of their shingles changed and with more, in classes that chain, and one large class."""
+    r = random.Random(8)
+    out = [None, "", " \n ", "one two", "One two", "one two three"]
+    for n in [4, 6, 12, 30, 90, 300] * 8:
+        base = [f"w{r.randrange(400)}" for _ in range(n)]
+        out.append(" ".join(base))
+        for _ in range(r.randrange(5)):
+            base = list(base)
+            for _ in range(r.randint(1, max(1, n // 25))):
+                base[r.randrange(n)] = f"v{r.randrange(10**6)}"
+            out.append(" ".join(base))
+    large = [f"z{i}" for i in range(120)]
+    for i in range(150):
+        copy = list(large)
+        copy[r.randrange(120)] = f"y{i}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_linked_equals_brute_force():
+    sets = [words_of(t) for t in texts()]
+    want = roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and similar(sets[i], sets[j])])
+    own = [jaccard.shingles(t) for t in texts()]
+    full = [i for i, x in enumerate(own) if len(x)]
+    got = jaccard.linked([own[i] for i in full])
+    assert [full[x] for x in got] == [want[i] for i in full] and len(set(want)) < len(sets) - 150
+
+
+def test_stage_links_what_is_similar_and_nothing_else(spark):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    random.Random(1).shuffle(rows)
+    sets = {i: words_of(t) for i, t in rows}
+    up = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(set(up)) and all(x["text"] == dict(rows)[x["doc_id"]] for x in got)
+
+
+def test_stage_over_the_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((x["doc_id"], x["text"]) for x in docs.select("doc_id", "text").collect())
+    sets = [words_of(t) for _, t in rows]
+    up = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j])])
+    got = corpus_pipeline.near_copies(spark, docs, sf_dir)
+    assert got.dtypes == docs.dtypes and {x["doc_id"] for x in got.collect()} == {rows[i][0] for i in set(up)}
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "A b c d e"), (5, "other words are here now"), (None, "nobody has an id here"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(x) for x in jaccard.representatives(docs).collect()]
+    assert len(kept) == 4 and (9, None) in kept and (5, "other words are here now") in kept and (None, "nobody has an id here") in kept
+    assert jaccard.representatives(docs.where("false")).isEmpty()
