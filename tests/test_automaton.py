@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,32 @@ def test_running_sum(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
     got = [x["s"] for x in ordering.running(df, "id", "v", "s").orderBy("id").collect()]
     assert got == [sum(i % 7 for i in range(k)) for k in range(1000)]
+
+
+@pytest.mark.parametrize("dense", [1000, 1])
+def test_fiedler_vector_of_a_weighted_automaton(spark, dense):
+    """Weights that are word frequencies: the largest degree dwarfs the gap between the eigenvalues."""
+    r = random.Random(5)
+    words = [("".join(r.choice("abcde") for _ in range(r.randint(2, 7))), 10 ** r.randint(0, 4)) for _ in range(60)]
+    rows = ordering.CompressedRows(automaton.Automaton(spark.createDataFrame(sorted(dict(words).items()), "term string, freq long")))
+    edges, n = rows.edges.toPandas(), rows.order.count()
+    src, dst, w = (edges[c].to_numpy(np.int64) for c in ("src_order", "dst_order", "weight"))
+    laplacian = np.zeros((n, n))
+    for i, j, x in zip(src, dst, w):
+        laplacian[[i, j], [i, j]] += x
+        laplacian[[i, j], [j, i]] -= x
+    values, vectors = np.linalg.eigh(laplacian)
+    assert n > 40 and w.min() >= 1 and values[2] > 1.01 * values[1] and values[-1] > 1000 * values[1]
+    for seed in (1, 2, 3):
+        x = layout.fiedler(n, src, dst, w, seed=seed, dense=dense)
+        assert abs(x @ vectors[:, 1]) > 1 - 1e-9 and x[np.flatnonzero(np.abs(x) > 1e-9)[0]] < 0
+
+
+def test_fiedler_vector_fails_loudly_or_tells_parts():
+    src = np.arange(2999)
+    with pytest.raises(ArithmeticError, match="did not converge"):
+        layout.fiedler(3000, src, src + 1, np.ones(2999, np.int64), space=2, rounds=5)
+    path = layout.fiedler(3000, src, src + 1, np.ones(2999, np.int64))
+    assert (np.diff(path) > 0).all()
+    assert (layout.fiedler(5, np.array([0, 2]), np.array([1, 3]), np.array([1, 1])) < 0).tolist() == [True, True, False, False, False]
+    assert layout.fiedler(1, src[:0], src[:0], src[:0]).tolist() == [0]
