@@ -109,13 +109,13 @@ def lookup_osa_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lookup_osa_k3", sql.lookup(3, sql.NAMES))
-def lookup_osa_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy.lookup(workload(spark, sf_dir), names(spark, sf_dir), 3)
+def lookup_osa_k3(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return fuzzy.lookup(workload(spark, sf_dir), words(spark, sf_dir), 3)
 
 
 @query("lookup_pairs_k2", sql.lookup(2, sql.NAMES))
-def lookup_pairs_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy.lookup(workload(spark, sf_dir), names(spark, sf_dir), 2, "pairs")
+def lookup_pairs_k2(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return fuzzy.lookup(workload(spark, sf_dir), words(spark, sf_dir), 2, "pairs")
 
 
 @query("lookup_single_term", sql.SINGLE)
@@ -247,15 +247,15 @@ def csr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("csr_delta_offsets", sql.automaton("select order_id, first_edge, (first_edge - lag(first_edge, 1, 0) over (order by order_id))::bigint as delta from csr_nodes", sql.NAMES))
-def csr_delta_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.delta_offsets(written(_rows(spark, sf_dir).nodes(), "nodes"))
+def csr_delta_offsets(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return ordering.delta_offsets(written(_rows(spark, sf_dir, words).nodes(), "nodes"))
 
 
-# layout, over the small dictionary's graph
+# layout; the searches run in one task, over the small dictionary's graph
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> ordering.CompressedRows:
-    return ordering.CompressedRows(_automaton(names(spark, sf_dir)))
+def _rows(spark: SparkSession, sf_dir: str, words: Query = names) -> ordering.CompressedRows:
+    return ordering.CompressedRows(_automaton(words(spark, sf_dir)))
 
 
 @query("arrangement_cost", sql.automaton("select sum(abs(src_order - dst_order) * weight)::bigint as cost from csr_edges"))
@@ -264,21 +264,21 @@ def arrangement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cache_arrangement_cost", sql.automaton("select sum(case when src_order // 16 <> dst_order // 16 then weight else 0 end)::bigint as cost from csr_edges", sql.NAMES))
-def cache_arrangement_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.cache_arrangement_cost(_rows(spark, sf_dir).edges)
+def cache_arrangement_cost(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return layout.cache_arrangement_cost(_rows(spark, sf_dir, words).edges)
 
 
 @query("arranged_edges", sql.automaton("select (n - 1 - src_order)::bigint as src_order, (n - 1 - dst_order)::bigint as dst_order, label, weight::bigint as weight from csr_edges, (select count(*) as n from states)", sql.NAMES))
-def arranged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
+def arranged_edges(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    rows = _rows(spark, sf_dir, words)
     n = rows.order.count()
     back = rows.order.select((n - 1 - F.col("order_id")).alias("position"), F.col("order_id").alias("node_id"))
     return layout.arrange(rows.edges, layout.checked(back, n))
 
 
 @query("undirected_graph", sql.automaton("select a, b, sum(weight)::bigint as weight from (select src_order as a, dst_order as b, weight from csr_edges union all select dst_order, src_order, weight from csr_edges) group by a, b", sql.NAMES))
-def undirected_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.undirected(_rows(spark, sf_dir).edges)
+def undirected_graph(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return layout.undirected(_rows(spark, sf_dir, words).edges)
 
 
 @query("anneal_layout")
@@ -321,41 +321,41 @@ def ordering_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("coarsened_graph")
-def coarsened_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def coarsened_graph(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
     """Contraction of the graph with 1 to 9 parents; the root and its children stay."""
-    edges = _rows(spark, sf_dir).edges.select(F.col("src_order").alias("src"), F.col("dst_order").alias("dst"))
+    edges = _rows(spark, sf_dir, words).edges.select(F.col("src_order").alias("src"), F.col("dst_order").alias("dst"))
     fixed = written(edges.where("src = 0").select(F.col("dst").alias("node")).union(spark.range(1).select(F.col("id").alias("node"))).distinct(), "fixed")
     return layout.shrunk(edges, fixed)
 
 
 @query("d3_nodes", sql.automaton("""select '{"x":' || order_id || ',"y":' || order_id || '}' as json from topo""", sql.NAMES))
-def d3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.d3_nodes(_rows(spark, sf_dir).order)
+def d3_nodes(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return export.d3_nodes(_rows(spark, sf_dir, words).order)
 
 
 @query("d3_links", sql.automaton("""select distinct '{"source":' || src_order || ',"target":' || dst_order || '}' as json from csr_edges""", sql.NAMES))
-def d3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.d3_links(_rows(spark, sf_dir).edges)
+def d3_links(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
+    return export.d3_links(_rows(spark, sf_dir, words).edges)
 
 
 # storage and numbers
 
 
 @query("store_round_trip", sql.automaton("select term, freq, idx from ranks", sql.NAMES))
-def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_round_trip(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
     """The dictionary of an index that was saved and loaded."""
-    words = written(names(spark, sf_dir), "dictionary")
-    held = automaton.Automaton(words, keep=written)
+    held_words = written(words(spark, sf_dir), "dictionary")
+    held = automaton.Automaton(held_words, keep=written)
     rows = ordering.CompressedRows(held)
-    path = f"{shared_dir(spark)}/saved-{words.rdd.id()}"
-    store.save(path, dictionary=ordering.word_index(words, held), nodes=rows.nodes(), edges=rows.edges)
+    path = f"{shared_dir(spark)}/saved-{held_words.rdd.id()}"
+    store.save(path, dictionary=ordering.word_index(held_words, held), nodes=rows.nodes(), edges=rows.edges)
     return store.load(spark, path)["dictionary"]
 
 
 @query("codec_sizes", sql.CODEC)
-def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codec_sizes(spark: SparkSession, sf_dir: str, words: Query = names) -> DataFrame:
     """Bytes that each frequency takes as a variable-length number, unsigned and negated signed."""
-    counts = names(spark, sf_dir).select("freq").distinct()
+    counts = words(spark, sf_dir).select("freq").distinct()
 
     def sizes(batches):
         for batch in batches:
@@ -369,3 +369,14 @@ def math_utils(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     x, y = F.col("o_orderkey"), F.col("o_custkey").cast("bigint")
     return orders.select("o_orderkey", bits.positive_or_zero(x - y).alias("positive"), bits.absolute(x - y).alias("absolute"), bits.smaller(x, y).alias("smaller"), bits.rotate_right_32(x, 5).alias("rotated"), bits.swap_outer_16(x).alias("swapped"))
+
+
+# the same over the documents' dictionary, which grows with the data
+
+
+def _over_documents(f: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(spark, sf_dir, vocabulary)
+
+
+for _f in (lookup_osa_k3, lookup_pairs_k2, csr_delta_offsets, cache_arrangement_cost, arranged_edges, undirected_graph, coarsened_graph, d3_nodes, d3_links, store_round_trip, codec_sizes):
+    query(f"{_f.__name__}_documents")(_over_documents(_f))
