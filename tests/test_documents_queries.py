@@ -31,3 +31,23 @@ def test_graph_is_that_of_the_documents(spark, small):
     rows = ordering.CompressedRows(automaton.Automaton(written(registry.vocabulary(spark, small), "dictionary"), keep=written))
     want = sorted(map(tuple, layout.undirected(rows.edges).collect()))
     assert want and sorted(map(tuple, registry.QUERIES["undirected_graph_documents"](spark, small).collect())) == want
+
+
+def test_totals_of_three_edits(spark, tmp_path):
+    spark.createDataFrame([(0, "tap taps zebra zebras stop")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "taps zebra unheard")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries = [x["query"] for x in registry.workload(spark, str(tmp_path)).collect()]
+    terms = ["tap", "taps", "zebra", "zebras", "stop"]
+
+    def osa(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    row = registry.QUERIES["lookup_batch_totals_k3"](spark, str(tmp_path)).collect()
+    want = sum(osa(q, t) <= 3 for q in queries for t in terms)
+    assert len(row) == 1 and row[0]["k"] == 3 and want in row[0].asDict().values()
