@@ -290,7 +290,7 @@ def undirected_graph(spark: SparkSession, sf_dir: str, words: Query = names) ->
 @query("anneal_layout")
 def anneal_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return layout.annealed(written(rows.nodes(), "nodes"), rows.edges, "cache", rate=0.999)
+    return layout.annealed(written(rows.nodes(), "nodes"), rows.edges, "cache")
 
 
 @query("spectral_layout")
@@ -303,7 +303,7 @@ def spectral_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_aware_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost before, search, renumbering, cost after."""
     rows = _rows(spark, sf_dir)
-    found = written(layout.best_arrangement(layout.annealed(written(rows.nodes(), "nodes"), rows.edges, "cache", rate=0.999)), "best")
+    found = written(layout.best_arrangement(layout.annealed(written(rows.nodes(), "nodes"), rows.edges, "cache")), "best")
     after = layout.cache_arrangement_cost(layout.arrange(rows.edges, found)).withColumnRenamed("cost", "cost_after")
     return layout.cache_arrangement_cost(rows.edges).withColumnRenamed("cost", "cost_before").crossJoin(after)  # one row each
 
@@ -313,11 +313,11 @@ def ordering_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of a topological search, the spectral order and a free search from there, one row per step."""
     rows = _rows(spark, sf_dir)
     nodes, edges = written(rows.nodes(), "nodes"), rows.edges
-    first = written(layout.best_arrangement(layout.annealed(nodes, edges, "topological", 2, 0.5, 0.999, 1e-3)), "first")
+    first = written(layout.best_arrangement(layout.annealed(nodes, edges, "topological", 2)), "first")
     second = written(layout.spectral(nodes, edges), "second")
     moved = written(layout.arrange(edges, second), "moved")
     place = nodes.join(second.select(F.col("node_id").alias("order_id"), "position"), "order_id").select(F.col("position").alias("order_id"), "is_terminal")
-    third = written(layout.best_arrangement(layout.annealed(place, moved, "ordering", 2, 0.5, 0.999, 1e-3)), "third")
+    third = written(layout.best_arrangement(layout.annealed(place, moved, "ordering", 2)), "third")
     steps = {"ids": edges, "topological": layout.arrange(edges, first), "spectral": moved, "ordering": layout.arrange(moved, third)}
     out = None
     for name, graph in steps.items():
