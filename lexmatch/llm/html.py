@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 #: Elements without content, whose content isn't text of the page, that flow within a block, and omitted end tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,6 +25,7 @@ _FENCE = frozenset("html body table ul ol dl div article section main aside nav
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
 _LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_HREF = re.compile(r"(?<![^\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+))", re.IGNORECASE)
 
 
 @dataclass(slots=True)
@@ -56,17 +58,21 @@ class Block:
     text: str = ""
     links: int = 0  #: characters of the text that are in links
     media: Element | None = None
-    path: str = field(default="")
+    path: int = 0  #: number of its tag path, where a caller numbers them
 
 
 class Reader:
-    """elements and blocks of a page."""
+    """elements and blocks of a page; links (addresses of a elements, in order) and the first title."""
 
     def __init__(self, page: str | None, media: frozenset[str] = frozenset()) -> None:
         self.elements: list[Element] = []
         self.blocks: list[Block] = []
+        self.links: list[str] = []
+        self.title: str | None = None
         self._root = Element("", "", None, 0, -1)
         self._open = [self._root]  # block elements only
+        self._places: dict[str, list[int]] = {}  # of open elements, by name, so that no search walks the whole stack
+        self._fences: list[int] = []
         self._inline: list[str] = []
         self._parts: list[str] = []
         self._links = 0
@@ -93,10 +99,40 @@ class Reader:
         self.elements.append(made)
         return made
 
+    def _descend(self, e: Element) -> None:
+        at = len(self._open)
+        self._open.append(e)
+        self._places.setdefault(e.name, []).append(at)
+        if e.name in _FENCE:
+            self._fences.append(at)
+
+    def _cut(self, at: int) -> None:
+        """Closes the open elements from place `at` on."""
+        while len(self._open) > at:
+            name = self._open.pop().name
+            self._places[name].pop()
+            if name in _FENCE:
+                self._fences.pop()
+
+    def _close_omitted(self, name: str) -> None:
+        """Ends open p elements and those that `name` ends, up to the nearest fence that it doesn't end."""
+        gone = CLOSES.get(name, frozenset())
+        k = len(self._fences) - 1
+        while k >= 0 and self._open[self._fences[k]].name in gone:
+            k -= 1
+        floor, least = self._fences[k] if k >= 0 else 0, len(self._open)
+        for old in ("p", *gone):
+            places = self._places.get(old)
+            if places and places[-1] > floor:
+                least = min(least, places[bisect_right(places, floor)])
+        self._cut(least)
+
     def _start(self, name: str, attrs: str) -> None:
         if name in INLINE:
             if name == "a":
                 self._inline.append(name)
+                if m := _HREF.search(attrs):
+                    self.links.append(html.unescape(m[1] or m[2] or m[3] or ""))
             return
         if name == "br":
             self._parts.append(" ")
@@ -112,17 +148,11 @@ class Reader:
             return
         self._flush()
         if name not in ("html", "body", "head"):
-            gone = CLOSES.get(name, frozenset())
-            for i in range(len(self._open) - 1, 0, -1):
-                old = self._open[i].name
-                if old == "p" or old in gone:
-                    del self._open[i:]
-                elif old in _FENCE:
-                    break
-        if name in ("html", "body") and any(x.name == name for x in self._open):
+            self._close_omitted(name)
+        elif name != "head" and self._places.get(name):
             return
         self._inline.clear()
-        self._open.append(self.elements[-1] if name in self._media else self._push(name, attrs))
+        self._descend(self.elements[-1] if name in self._media else self._push(name, attrs))
 
     def _end(self, name: str) -> None:
         if name in INLINE:
@@ -132,14 +162,11 @@ class Reader:
         if name == "br":
             self._parts.append(" ")
             return
-        for i in range(len(self._open) - 1, 0, -1):
-            if self._open[i].name == name:
-                self._flush()
-                self._inline.clear()
-                del self._open[i:]
-                return
-            if name not in _FENCE and self._open[i].name in _FENCE:
-                return
+        places = self._places.get(name)
+        if places and (name in _FENCE or not self._fences or self._fences[-1] < places[-1]):
+            self._flush()
+            self._inline.clear()
+            self._cut(places[-1])
 
     def _read(self, page: str) -> None:
         at, n, low = 0, len(page), None
@@ -172,6 +199,8 @@ class Reader:
                 else:
                     end = low.find(f"</{name}", at)
                     end = n if end < 0 else end
+                if name == "title" and self.title is None:
+                    self.title = " ".join(html.unescape(page[at:end]).split())
                 close = page.find(">", end)
                 at = n if close < 0 else close + 1
             else:
