@@ -25,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as it takes not to clash with df's columns, whatever their case."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df once as Parquet in the shared folder and reads it back.
 

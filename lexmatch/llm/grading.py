@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 from operator import eq
@@ -153,20 +154,29 @@ def fit(rows: Iterable[tuple[np.ndarray, int]], epochs: int = EPOCHS, seed: int
 
 
 def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> list[tuple[np.ndarray, int]]:
-    """(places, grade) of at most `sample` labelled documents: the first by a hash of their ids. Null ids and grades don't count."""
-    chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
-    chosen = chosen.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    held = docs.sparkSession.createDataFrame(chosen.collect(), "id long, grade int")  # at most `sample` pairs of numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(held), "id")
+    """(places, grade) of at most `sample` labelled documents: the first by a hash of their ids. Null ids and grades don't count.
+
+    An id is one row of the sample, however often it occurs: repeated labels count by their lowest grade, and of repeated documents the
+    text with the smallest digest is taken. Warns if the labels have several grades and the sample only one, which fits nothing.
+    """
+    graded = labels.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id is not null and grade is not null")
+    graded = graded.groupBy("id").agg(F.min("grade").alias("grade"))
+    held = docs.sparkSession.createDataFrame(graded.orderBy(F.xxhash64("id"), "id").limit(sample).collect(), "id long, grade int")  # at most `sample` pairs of numbers
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(F.broadcast(held), "id")
+    # a partial minimum first, so a hot id moves one text from each task
+    rows = rows.groupBy("id").agg(F.min("grade").alias("grade"), F.min(F.struct(F.md5("text").alias("digest"), "text")).alias("least"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [features(x.as_py()).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), batch.column(2)], names=["id", "places", "grade"])
+            places = [features(x.as_py()).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(places, pa.binary())], names=["id", "grade", "places"])
 
-    found = rows.select("id", "text", "grade").mapInArrow(make, "id long, places binary, grade int")
-    got = found.orderBy("id", "places").limit(sample).collect()  # a fixed order, so that the fit is the same each time
-    return [(np.frombuffer(r["places"], np.int32), r["grade"]) for r in got]
+    found = rows.select("id", "grade", F.col("least.text").alias("text")).mapInArrow(make, "id long, grade int, places binary").collect()  # at most `sample` rows
+    found = sorted((r["id"], bytes(r["places"]), r["grade"]) for r in found)  # a fixed order, so that the fit is the same each time
+    if len({g for _, _, g in found}) < 2 and (known := graded.select("grade").distinct().count()) > 1:
+        warnings.warn(f"{len(found)} labelled documents have one grade of {known}: all documents will be kept", stacklevel=2)
+    return [(np.frombuffer(p, np.int32), g) for _, p, g in found]
 
 
 def quality_grade(labels: DataFrame) -> DataFrame:
@@ -174,11 +184,11 @@ def quality_grade(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with _grade (expected), _tail (probability of the highest grade) and _keep (_tail of at least threshold); a narrow pass.
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text", names: Sequence[str] = ("_grade", "_tail", "_keep")) -> DataFrame:
+    """docs with the columns `names`: expected grade, probability of the highest grade, and whether that is at least threshold.
 
-    Null, empty and blank texts have no features and get the thresholds' own odds. A model without thresholds keeps all: _tail is 1.
-    The input's columns stay, whatever their names are; names that begin as the three do must not be among them.
+    A narrow pass. Null, empty and blank texts have no features and get the thresholds' own odds. A model without thresholds keeps
+    all: the probability is 1. The input's columns stay, whatever their names are; a caller whose columns may clash with `names` gives others.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB of weights at any input size
     at, plain = docs.columns.index(text_col), docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)])
@@ -193,9 +203,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "grade", "tail", "keep"])
 
     out = plain.mapInArrow(make, f"{fields}, grade double, tail double, keep boolean")
-    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)], *[F.col(x).alias(f"_{x}") for x in ("grade", "tail", "keep")])
+    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)], *[F.col(x).alias(name) for x, name in zip(("grade", "tail", "keep"), names, strict=True)])
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", names: Sequence[str] = ("_grade", "_tail", "_keep")) -> DataFrame:
     """score() of docs by a model fitted on labels (id_col, grade)."""
-    return score(docs, fit(rated(docs, labels, sample, id_col, text_col)), threshold, text_col)
+    return score(docs, fit(rated(docs, labels, sample, id_col, text_col)), threshold, text_col, names)
