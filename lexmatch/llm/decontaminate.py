@@ -9,7 +9,8 @@ item, so the tables take a few hundred bytes a window, whatever its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,17 +132,28 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
         yield held
 
 
+_built: dict[str, list[WuManber]] = {}
+
+
+def _tables(name: str, block: Callable[[], list[tuple[str, str]]], window: int) -> list[WuManber]:
+    """The tables of a named block. A Python worker holds those of its last one, so its next tasks don't build them again."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(block(), window)
+    return _built[name]
+
+
 _FOUND = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def _scan(rows: DataFrame, at: int, block: list[tuple[str, str]], window: int, hits_only: bool) -> DataFrame:
     """rows with _FOUND's columns from one block of items; hits_only: without the text, and only rows with hits."""
-    sent = rows.sparkSession.sparkContext.broadcast(block)  # about block_bytes
+    sent, name = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex  # about block_bytes
     kept = [i for i in range(len(rows.columns)) if not hits_only or i != at]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = build(sent.value, window)
+        own = _tables(name, lambda: sent.value, window)
         for batch in batches:
             found = [search(x.as_py(), own) for x in batch.column(at)]
             if hits_only:
@@ -154,14 +166,14 @@ def _scan(rows: DataFrame, at: int, block: list[tuple[str, str]], window: int, h
     return rows.mapInArrow(scan, ", ".join([*[f"{rows.columns[i]} {rows.dtypes[i][1]}" for i in kept], _FOUND]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.05, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with the columns _n_words, _n_hit, _items (sorted ids of occurring items) and _contaminated; the input's columns stay.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.05, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", names: Sequence[str] = ("_n_words", "_n_hit", "_items", "_contaminated")) -> DataFrame:
+    """docs with the columns `names`: words, words hit, sorted ids of occurring items, and whether it is contaminated; the input's columns stay.
 
     A document is contaminated if hits are some and at least min_share of its words. Null and empty texts have no words and no
     hits. Items with null id or text are ignored; repeated items count once; an empty benchmark hits nothing. Every word of
     every text is searched. A benchmark of up to block_bytes takes a single narrow pass without a shuffle. Of a larger one the
     driver and a task hold one block at a time: each further block is searched for in a pass of its own over numbered texts,
-    whose hits alone are kept and joined. The documents' columns may have any names but those four.
+    whose hits alone are kept and joined. A caller whose columns may clash with `names` gives others.
     """
     plain = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)])
     at = docs.columns.index(text_col)
@@ -185,4 +197,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share:
     step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"))
     out = out.withColumn("n_hit", F.aggregate("spans", start, step, lambda s: s["n"]))
     bad = (F.col("n_hit") > 0) & (F.col("n_hit") * (1 / min_share) >= F.col("n_words"))
-    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)], F.col("n_words").alias("_n_words"), F.col("n_hit").alias("_n_hit"), F.col("items").alias("_items"), bad.alias("_contaminated"))
+    made = (F.col("n_words"), F.col("n_hit"), F.col("items"), bad)
+    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)], *[x.alias(name) for x, name in zip(made, names, strict=True)])
+
+
+def oracle(window: int = WINDOW) -> str:
+    """DuckDB SQL for the query of find(): words, windows by length, and places of equal windows, all by joins."""
+    words = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with docs as (select row_number() over () as r, doc_id, {words("text")} as w from documents),
+items as (select distinct cast(item_id as varchar) as item, {words("text")} as w from benchmark where item_id is not null and text is not null),
+sized as (select item, w, least({window}, len(w)) as n from items where len(w) > 0),
+windows as (select distinct item, n, array_to_string(w[i : i + n - 1], ' ') as k from (select item, w, n, unnest(range(1, len(w) - n + 2)) as i from sized)),
+lengths as (select distinct n from windows),
+places as (select r, n, i, array_to_string(w[i : i + n - 1], ' ') as k from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, lengths where len(w) >= n)),
+hits as (select r, n, i, item from places join windows using (n, k)),
+hit_words as (select r, count(distinct p) as n_hit from (select distinct r, unnest(range(i, i + n)) as p from (select distinct r, n, i from hits)) group by r),
+hit_items as (select r, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct r, item from hits) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hit_words using (r) left join hit_items using (r)
+"""

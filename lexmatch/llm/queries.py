@@ -75,4 +75,4 @@ QUERIES = {
     "op9_simple8b": op9_simple8b,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {"op5_secrets": secrets.oracle(), "op10_sharding": sharding.oracle()}
+ORACLES: dict[str, str] = {"op3_decontamination": decontaminate.oracle(), "op5_secrets": secrets.oracle(), "op10_sharding": sharding.oracle()}
