@@ -186,26 +186,3 @@ def cluster(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     mapping, _ = _common.materialize(named.join(least, "root").select("fp", "component_id"), "classes")
     return made.join(mapping, "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each class of linked rows: that with the smallest id.
-
-    Rows that share the smallest id give the one with the smallest digest of its text, and of exact repeats one row stays. A null id
-    comes after all others. docs is written first with a number for each row, so both readers see the same numbers; in the last join
-    texts move once, and what they meet is a list of row numbers.
-    """
-    named = [F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)]
-    held, _ = _common.materialize(docs.select(F.monotonically_increasing_id().alias("row"), *named), "rows")
-    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}").cast("string"), F.lit(""))
-    own = held.select("row", F.col(f"c{docs.columns.index(id_col)}").cast("long").alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
-    made, _ = _common.materialize(fingerprints(own, words, seed).select(F.col("c0").alias("row"), F.col("c1").alias("doc_id"), F.col("c2").alias("key"), "fp"), "fingerprints")
-    roots = components(links(made.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
-    # a class's first row: least over a fingerprint, then over the class; both sums are partial before they move
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")
-    firsts, _ = _common.materialize(made.groupBy("fp").agg(F.min(order).alias("best")), "firsts")
-    best = firsts.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
-    chosen, _ = _common.materialize(best.select(F.col("best.row").alias("row")), "chosen")
-    # a sort-merge join at every size: a broadcast would only do for few rows, and so make small inputs look cheaper than they scale
-    rows = held.join(chosen.hint("merge"), "row", "left_semi")
-    return rows.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)])
