@@ -9,31 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmatch.llm import _common, decontaminate, grading, jaccard, packing, secrets
+from lexmatch.llm import _common, decontaminate, grading, near_copies, packing, secrets
 
-#: Links of fingerprints that the near-copies stage made before it compared shingles; a test still reads them.
-NEAR_WORDS, NEAR_BITS = 4, 6
+
+def _kept(found: DataFrame, docs: DataFrame, condition: str) -> DataFrame:
+    return found.where(condition).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose probability of the highest grade reaches the threshold."""
+    """Keeps documents whose probability of the highest grade reaches the threshold. A null or empty text has the thresholds' own odds."""
     labels = grading.quality_grade(_common.table(spark, sf_dir, "labels"))
-    return grading.classify(docs, labels).where("_keep").select(*docs.columns)
+    names = _common.fresh(docs, "_grade", "_tail", "_keep")
+    return _kept(grading.classify(docs, labels, names=names), docs, names[2])
+
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class that covering SimHash proposes and 0.8 or more of five-word shingles links: that with the smallest id.
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class linked by 0.8 or more of five-word shingles, that with the smallest id; of rows that share it, the smallest text."""
-    return jaccard.representatives(docs)
+    Of rows that share it the smallest text stays; all texts without words, null ones too, are one class.
+    """
+    return near_copies.representatives(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more are words of benchmark passages."""
-    found = decontaminate.find(docs, _common.table(spark, sf_dir, "benchmark"))
-    return found.where("not _contaminated").select(*docs.columns)
+    """Drops every document in which a window of a benchmark item occurs, however small its share. A null text has no windows."""
+    names = _common.fresh(docs, "_n_words", "_n_hit", "_items", "_contaminated")
+    found = decontaminate.find(docs, _common.table(spark, sf_dir, "benchmark"), names=names)
+    return _kept(found, docs, f"{names[1]} = 0")
 
 
 def hidden_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in texts; all documents stay."""
+    """Replaces secrets in texts; all documents stay, and a null text stays null."""
     made = secrets.redact(docs)
     return made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
 
@@ -43,7 +49,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality classifier", quality), ("near-copies", near_copies), ("decontamination", contamination), ("secrets", hidden_secrets), ("packing", packed)]
+STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("decontamination", contamination), ("secrets", hidden_secrets), ("packing", packed)]
 ORACLE_SQL = None
 
 
