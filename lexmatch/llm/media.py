@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmatch.llm import _common
@@ -90,22 +90,25 @@ def feature(payload: bytes) -> str:
 def sequence(page: str | None) -> list[dict]:
     """Entries of a page in order. A caption is the text of the same figure's figcaption; it isn't an entry of its own."""
     reader = Reader(page, MEDIA_TAGS)
+    figure, titled = [-1] * len(reader.elements), [False] * len(reader.elements)  # nearest figure, and whether in a figcaption
+    for e in reader.elements:
+        up = e.parent.order
+        figure[e.order] = e.order if e.name == "figure" else figure[up] if up >= 0 else -1
+        titled[e.order] = e.name == "figcaption" or up >= 0 and titled[up]
+    at = lambda b: (figure[b.at.order], titled[b.at.order]) if b.at.order >= 0 else (-1, False)
     captions: dict[int, list[str]] = {}
-    figure_of = {}
     for b in reader.blocks:
-        line = list(b.at.lineage())
-        figure_of[id(b)] = next((e.order for e in line if e.name == "figure"), None)
-        if b.media is None and figure_of[id(b)] is not None and any(e.name == "figcaption" for e in line):
-            captions.setdefault(figure_of[id(b)], []).append(b.text)
+        own, title = at(b)
+        if b.media is None and own >= 0 and title:
+            captions.setdefault(own, []).append(b.text)
     out: list[dict] = []
     for b in reader.blocks:
-        figure = figure_of[id(b)]
+        own, title = at(b)
         if b.media is not None:
-            own = b.media.attributes()
-            ref = own.get("src") or own.get("data-src") or ""
-            caption = " ".join(captions.get(figure, [])) if figure is not None else ""
-            out.append({"kind": "media", "text": own.get("alt") or None, "ref": ref, "digest": digest_of(ref), "caption": caption or own.get("title") or None})
-        elif not (figure in captions and any(e.name == "figcaption" for e in b.at.lineage())):
+            given = b.media.attributes()
+            ref = given.get("src") or given.get("data-src") or ""
+            out.append({"kind": "media", "text": given.get("alt") or None, "ref": ref, "digest": digest_of(ref), "caption": " ".join(captions.get(own, [])) or given.get("title") or None})
+        elif not (own in captions and title):
             out.append({"kind": "text", "text": b.text, "ref": None, "digest": None, "caption": None})
     return [{"pos": i, **x} for i, x in enumerate(out)]
 
@@ -188,20 +191,38 @@ def described(stored: DataFrame) -> DataFrame:
 def resolve(documents: DataFrame, payloads: DataFrame) -> DataFrame:
     """documents (id, entries) as one row per entry, with payloads' columns joined by digest; unresolved entries keep theirs null.
 
-    Entries stay aligned by (id, pos). Pages without entries have no rows.
+    Entries stay aligned by (id, pos). Pages without entries have no rows. Entries without a digest, as all text, pass the join by.
     """
     entries = documents.select("id", F.explode("entries").alias("x")).select("id", "x.*")
-    return entries.join(payloads, "digest", "left")
+    rest = entries.where("digest is null").select("*", *[F.lit(None).cast(kind).alias(x) for x, kind in payloads.dtypes if x != "digest"])
+    return entries.where("digest is not null").join(payloads, "digest", "left").unionByName(rest)
+
+
+def _page(text: Column, figure: Column) -> Column:
+    """A page of the text's lines as paragraphs, with the figure after the first half of them."""
+    plain = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(plain, "\n", -1)
+    half = F.ceil(F.size(lines) / 2).cast("int")
+    wrapped = lambda some: F.when(F.size(some) == 0, F.lit("")).otherwise(F.concat(F.lit("<p>"), F.array_join(some, "</p><p>"), F.lit("</p>")))
+    return F.concat(F.lit("<article>"), wrapped(F.slice(lines, 1, half)), figure, wrapped(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
 
 
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's text as the payload of a page with one media entry: doc_id, n_bytes and described()'s columns."""
-    data = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"))
-    size = F.octet_length("data")
+    """Each document as an interleaved page: its lines as text entries and, after half of them, a media entry whose payload is its text.
+
+    One row per row of docs: doc_id, n_bytes, described()'s columns, pos and caption (the id) of the media entry, n_texts and
+    texts_sha256 (of the text entries, joined by newlines). Null and empty texts have no text entry and an empty payload; ids may be null or
+    repeated; other columns are ignored.
+    """
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    data = F.encode("text", "UTF-8")
+    size = F.octet_length("text")
     fill = F.when(size == 0, F.lit(UNIT)).otherwise((UNIT - size % UNIT) % UNIT)
-    digest = F.sha2(F.concat("data", F.unhex(F.repeat(F.lit("FF"), fill))), 256)
-    pages = held.select(F.struct("doc_id", size.cast("long").alias("n_bytes")).alias("page_id"), F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>")).alias("html"))
-    features, _ = _common.materialize(described(store(held, "data")), "features")  # so the join reads plain tables, and hot digests can be split
-    found = resolve(sequences(pages), features)
-    return found.select("id.doc_id", "id.n_bytes", *[x.split()[0] for x in _FEATURES.split(", ")[1:]])
+    digest = F.sha2(F.concat(data, F.unhex(F.repeat(F.lit("FF"), fill))), 256)
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    pages = held.select(F.struct("doc_id", size.cast("long").alias("n_bytes")).alias("page_id"), _page(F.col("text"), figure).alias("html"))
+    texts = F.transform(F.filter("entries", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    whole = F.struct("id.doc_id", "id.n_bytes", F.size(texts).cast("long").alias("n_texts"), F.sha2(F.array_join(texts, "\n"), 256).alias("texts_sha256"))
+    found = sequences(pages).select(whole.alias("id"), F.filter("entries", lambda x: x["kind"] == "media").alias("entries"))
+    features, _ = _common.materialize(described(store(held.select(data.alias("data")), "data")), "features")  # so the join reads plain tables, and hot digests can be split
+    return resolve(found, features).select("id.doc_id", "id.n_bytes", *[x.split()[0] for x in _FEATURES.split(", ")[1:]], F.col("pos").cast("long").alias("pos"), "caption", "id.n_texts", "id.texts_sha256")
