@@ -4,15 +4,15 @@ A response gives two records that refer to it and name each other: metadata (JSO
 links) and conversion (its plain text). Identifiers are made from the response's, so a repeated run makes the same ones.
 
 Files are read and written by Spark's text source with a record separator in place of the line's, so records stream one at a time,
-plain files split, and any store that Spark reaches will do.
+plain files split, and any store that Spark reaches will do. What the separator cuts is put together again by Content-Length.
 """
 
 from __future__ import annotations
 
 import hashlib
-import html
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +24,6 @@ from lexmatch.llm.html import Reader
 VERSION = "WARC/1.1"
 _END = "\r\n\r\n"
 RECORD = "headers map<string,string>, block binary"
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.IGNORECASE | re.DOTALL)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 
 
@@ -41,16 +40,21 @@ def urn(*parts: str | None) -> str:
 
 
 def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Response records (key, headers, block) of pages; a null page is an empty payload. The record's id comes from the page's id and address."""
-    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    """Response records (key, headers, block) of pages; a null page is an empty payload.
+
+    A record's id is made from the page's id, address and digest and from the row's place in the input, so that no two rows share one,
+    repeated rows and rows without id and address included; it is the same each time the same files are read in the same splits.
+    """
+    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), F.monotonically_increasing_id().alias("place"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             headers, blocks = [], []
-            for key, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for key, url, page, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 payload = (page.as_py() or "").encode()
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-                own = {"WARC-Type": "response", "WARC-Record-ID": urn("response", str(key), url), "WARC-Date": date, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest(payload), "WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
+                whole = digest(payload)
+                own = {"WARC-Type": "response", "WARC-Record-ID": urn("response", str(key), url, whole, str(place)), "WARC-Date": date, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": whole, "WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
                 headers.append([*({**own, "WARC-Target-URI": clean(url)} if url else own).items()])
                 blocks.append(block)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
@@ -83,8 +87,46 @@ def http_parts(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, found, block[at + gap :]
 
 
-def plain_text(payload: bytes, content_type: str) -> str:
-    """All text of a page, one block a line; of other text types the text itself; nothing of the rest."""
+def unchunked(body: bytes) -> bytes:
+    """The content of a chunked body. Where it is broken or cut off, what follows is taken as it is."""
+    out, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = body[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            out.append(body[at:])
+            break
+        n = int(size, 16)
+        if not n:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n
+        at += 2 * (body[at : at + 2] == b"\r\n")
+    return b"".join(out)
+
+
+def decoded(http: dict[str, str], body: bytes) -> bytes:
+    """A body without its transfer and content codings (chunked, gzip, deflate). What isn't coded as said, or otherwise, stays as it is."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for coding in reversed([x.strip().lower() for x in http.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):  # with a header of either kind, or bare
+                reader = zlib.decompressobj(bits)
+                try:
+                    made = [reader.decompress(body)]
+                    while reader.eof and reader.unused_data[:2] == b"\x1f\x8b":  # further members
+                        rest, reader = reader.unused_data, zlib.decompressobj(47)
+                        made.append(reader.decompress(rest))
+                    body = b"".join(made)
+                    break
+                except zlib.error:
+                    continue
+    return body
+
+
+def page_text(payload: bytes, content_type: str) -> tuple[str, str | None, list[str]]:
+    """Plain text, title and links: of a page one block a line, of other text types the text itself, nothing of the rest."""
     kind = content_type.partition(";")[0].strip().lower()
     named = _CHARSET.search(content_type) or _CHARSET.search(payload[:2048].decode("latin-1"))
     try:
@@ -92,23 +134,22 @@ def plain_text(payload: bytes, content_type: str) -> str:
     except LookupError:
         text = payload.decode("utf-8", "replace")
     if kind in ("", "text/html", "application/xhtml+xml"):
-        return "\n".join(b.text for b in Reader(text).blocks)
-    return text if kind.startswith("text/") else ""
+        page = Reader(text)
+        return "\n".join(b.text for b in page.blocks), page.title, page.links
+    return text if kind.startswith("text/") else "", None, []
 
 
-def derivatives(headers: dict[str, str], block: bytes, tool: str = "lexmatch") -> list[tuple[dict[str, str], bytes]]:
-    """The metadata and conversion records (headers, block) of a response."""
+def derivatives(headers: dict[str, str], block: bytes, tool: str = "lexmatch", place: str = "") -> list[tuple[dict[str, str], bytes]]:
+    """The metadata and conversion records (headers, block) of a response. place: tells records apart that have no id."""
     own = {k.lower(): v for k, v in headers.items()}
     status, http, payload = http_parts(block)
-    text = plain_text(payload, http.get("content-type", "text/html" if payload[:1] == b"<" else "text/plain"))
-    page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    source = own.get("warc-record-id", "")
-    ids = {kind: urn(kind, source, own.get("warc-target-uri")) for kind in ("metadata", "conversion")}
+    body = decoded(http, payload)
+    text, title, links = page_text(body, http.get("content-type", "text/html" if body[:1] == b"<" else "text/plain"))
+    source, whole = own.get("warc-record-id", ""), own.get("warc-block-digest") or digest(block)
+    ids = {kind: urn(kind, *((source, own.get("warc-target-uri")) if source else (whole, place))) for kind in ("metadata", "conversion")}
     info = {
-        "container": tool, "source": dict(sorted(headers.items())), "status": status, "http": http, "payload_bytes": len(payload),
-        "payload_digest": own.get("warc-payload-digest") or digest(payload), "block_digest": own.get("warc-block-digest") or digest(block),
-        "title": clean(html.unescape(title[1])) if title else None, "links": [html.unescape(x) for _, x in re.findall(r"<a\b[^>]*?\shref\s*=\s*([\"'])(.*?)\1", page, re.I | re.S)], "text_chars": len(text),
+        "container": tool, "source": dict(sorted(headers.items())), "status": status, "http": http, "payload_bytes": len(payload), "decoded_bytes": len(body),
+        "payload_digest": own.get("warc-payload-digest") or digest(payload), "block_digest": whole, "title": title, "links": links, "text_chars": len(text),
     }
     blocks = {"metadata": json.dumps(info, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace"), "conversion": text.encode("utf-8", "replace")}
     kinds = {"metadata": "application/json", "conversion": "text/plain; charset=utf-8"}
@@ -127,16 +168,16 @@ def derive(records: DataFrame) -> DataFrame:
 
     A narrow pass. Records with null headers count as responses without any; a null block is empty. Extra columns are ignored.
     """
-    rows = records.select("key", "headers", "block")
+    rows = records.select("key", "headers", "block", F.monotonically_increasing_id().alias("place"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, headers, blocks = [], [], []
-            for key, own, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for key, own, block, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 given = {k: v or "" for k, v in own or []}
                 if next((v for k, v in given.items() if k.lower() == "warc-type"), "response") != "response":
                     continue
-                for head, data in derivatives(given, block.as_py() or b""):
+                for head, data in derivatives(given, block.as_py() or b"", place=str(place)):
                     keys.append(key)
                     headers.append([*head.items()])
                     blocks.append(data)
@@ -153,30 +194,80 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     records.select(record.cast("string").alias("value")).write.option("lineSep", _END).option("compression", compression).text(path)
 
 
+class _Frames:
+    """Puts a file's pieces between separators together to records. piece() and end() give (headers, block, whole)."""
+
+    def __init__(self, version: str) -> None:
+        self.prefix, self.gap = f"{version}\r\n".encode(), f"{_END}{version}\r\n".encode()
+        self.held: list[bytes] = []  # pieces of a record that goes on beyond its first piece
+        self.size = self.want = 0
+
+    def _head(self, piece: bytes) -> tuple[dict[str, str], int, int | None]:
+        """A record's headers, where its block begins, and how long that should be."""
+        head = piece.partition(b"\r\n\r\n")[0]
+        pairs = dict(y for line in head.decode("utf-8", "replace").split("\r\n") if (y := tuple(z.strip() for z in line.partition(":")[::2]))[0])
+        size = next((v for k, v in pairs.items() if k.lower() == "content-length"), "")
+        return pairs, len(head) + 4, int(size) if re.fullmatch("[0-9]{1,15}", size) else None
+
+    def _record(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+        pairs, at, n = self._head(data)
+        if pairs:
+            yield pairs, data[at:] if n is None else data[at : at + n], n is not None and len(data) >= at + n
+
+    def piece(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+        piece = piece if self.held else piece.removeprefix(self.prefix)
+        if self.held:
+            self.held.append(piece)
+            self.size += len(self.gap) + len(piece)
+            if self.size < self.want:
+                return
+            whole = self.gap.join(self.held)
+            if not whole[self.want :].strip(b"\r\n"):
+                self.held = []
+                yield from self._record(whole)
+                return
+            self.held.pop()
+            yield from self.end()  # the length ends within a record, so it is wrong
+        _, at, n = self._head(piece)
+        if n and len(piece) < at + n:
+            self.held, self.size, self.want = [piece], len(piece), at + n
+        else:
+            yield from self._record(piece)
+
+    def end(self) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+        """What is held is not whole; the pieces after its first one are records of their own."""
+        held, self.held = self.held, []
+        for x in held:
+            yield from self._record(x)
+
+
 def read(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
     """(headers, block, whole) of the records in WARC files of one version, plain or gzip.
 
-    whole is false if a block is shorter than its header says, as where a file is cut off. Header names keep their case; of repeated
-    names the last counts. Files without records give no rows.
+    A block has the length that its header says, even if it holds what separates records. whole is false if a block is shorter, as where
+    a file is cut off or a length is wrong; records after it are still read. Header names keep their case; of repeated names the last
+    counts. Files without records give no rows. Gzip files are never split; of plain files, which are, only a block that holds a
+    separator and lies across the border of two splits comes in pieces, the first of them not whole. A task holds one record, or what
+    follows one whose length is far too great, at most a file's rest.
     """
-    raw = spark.read.option("lineSep", f"{_END}{version}\r\n").text(path).select(F.col("value").cast("binary").alias("value"))
-    prefix = f"{version}\r\n".encode()
+    raw = spark.read.option("lineSep", f"{_END}{version}\r\n").text(path)
+    raw = raw.select(F.col("value").cast("binary").alias("value"), F.concat_ws(" ", "_metadata.file_block_start", "_metadata.file_path").alias("split"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(found: list[tuple[dict[str, str], bytes, bool]]) -> pa.RecordBatch:
+            made = [pa.array([[*h.items()] for h, _, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b, _ in found], pa.binary()), pa.array([w for _, _, w in found], pa.bool_())]
+            return pa.RecordBatch.from_arrays(made, names=["headers", "block", "whole"])
+
+        frames, split = _Frames(version), None
         for batch in batches:
-            headers, blocks, whole = [], [], []
-            for x in batch.column(0):
-                data = (x.as_py() or b"").removeprefix(prefix)
-                head, gap, rest = data.partition(b"\r\n\r\n")
-                pairs = dict(y for line in head.decode("utf-8", "replace").split("\r\n") if (y := tuple(z.strip() for z in line.partition(":")[::2]))[0])
-                size = next((v for k, v in pairs.items() if k.lower() == "content-length"), "")
-                n = int(size) if size.isdigit() else None
-                if not pairs:
-                    continue
-                headers.append([*pairs.items()])
-                blocks.append(rest[:n] if n is not None else rest)
-                whole.append(bool(gap) and n is not None and len(rest) >= n)
-            yield pa.RecordBatch.from_arrays([pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary()), pa.array(whole, pa.bool_())], names=["headers", "block", "whole"])
+            found = []
+            for x, at in zip(batch.column(0), batch.column(1).to_pylist()):
+                if at != split:
+                    found.extend(frames.end())
+                    split = at
+                found.extend(frames.piece(x.as_py() or b""))
+            yield rows(found)
+        yield rows([*frames.end()])
 
     return raw.mapInArrow(parse, f"{RECORD}, whole boolean")
 
