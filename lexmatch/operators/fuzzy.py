@@ -40,7 +40,8 @@ def variants(words: DataFrame, column: str, k: int) -> DataFrame:
 def _by_deletions(queries: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
     """(query, term, freq), each once, among them all pairs within k edits."""
     near = variants(dictionary, "term", k).join(variants(queries, "query", k), "key")
-    return near.where(F.abs(F.length("query") - F.length("term")) <= k).select("query", "term", "freq").distinct().where(_plain(k) <= 2 * k)
+    # the bound is checked where pairs meet, so that only those within it, few and mostly results, move to become distinct
+    return near.where((F.abs(F.length("query") - F.length("term")) <= k) & (_plain(k) <= 2 * k)).select("query", "term", "freq").distinct()
 
 
 def _letters(word: Column, to: str) -> list[Column]:
@@ -102,12 +103,21 @@ def lookup(queries: DataFrame, dictionary: DataFrame, k: int, strategy: str = "a
 
 
 class FuzzyDictionary:
-    """A dictionary (term, freq) kept in memory and on disk for many lookups."""
+    """A dictionary (term, freq) for many lookups, kept in memory and on disk until close(); with persist=False as the caller keeps it."""
 
-    def __init__(self, dictionary: DataFrame) -> None:
-        self.frame = dictionary.select("term", F.col("freq").cast("bigint").alias("freq")).persist(StorageLevel.MEMORY_AND_DISK)
+    def __init__(self, dictionary: DataFrame, persist: bool = True) -> None:
+        self.frame = dictionary.select("term", F.col("freq").cast("bigint").alias("freq"))
+        self._persist = persist
+        if persist:
+            self.frame.persist(StorageLevel.MEMORY_AND_DISK)
         self._ranks: DataFrame | None = None
 
+    def __enter__(self) -> FuzzyDictionary:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     @property
     def word_count(self) -> int:
         return self.frame.count()
@@ -132,6 +142,12 @@ class FuzzyDictionary:
         wanted = self.frame.sparkSession.createDataFrame([(k,) for k in ks], "k int")
         return wanted.join(F.broadcast(found), F.col("distance") <= F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total"))
 
+    def report(self, queries: DataFrame, word: str, ks: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+        """(part, k, term, n): a row "total" with the results of all queries for each k, and a row "term" with the frequency of each term within the largest k of word."""
+        totals = self.totals(queries, ks).select(F.lit("total").alias("part"), "k", F.lit(None).cast("string").alias("term"), F.col("total").alias("n"))
+        terms = self.lookup(word, max(ks)).select(F.lit("term").alias("part"), F.lit(max(ks)).alias("k"), "term", F.col("freq").alias("n"))
+        return totals.unionByName(terms)
+
     def best(self, queries: DataFrame, k: int = 2) -> DataFrame:
         """The nearest term of each query, the most frequent of the nearest, the first by letters of those."""
         pick = F.min(F.struct("distance", (-F.col("freq")).alias("less"), "term"))
@@ -143,7 +159,9 @@ class FuzzyDictionary:
         from lexmatch.operators import ordering
 
         if self._ranks is None:
-            self._ranks = ordering.word_index(self.frame).persist(StorageLevel.MEMORY_AND_DISK)
+            self._ranks = ordering.word_index(self.frame)
+            if self._persist:
+                self._ranks.persist(StorageLevel.MEMORY_AND_DISK)
         return self._ranks
 
     def get_index(self, words: DataFrame) -> DataFrame:
@@ -156,6 +174,8 @@ class FuzzyDictionary:
         return indexes.join(self.ranks().select("idx", "term"), "idx")
 
     def close(self) -> None:
-        self.frame.unpersist()
-        if self._ranks is not None:
-            self._ranks.unpersist()
+        """Frees what was kept; a second call does nothing."""
+        if self._persist:
+            self.frame.unpersist()
+            if self._ranks is not None:
+                self._ranks.unpersist()

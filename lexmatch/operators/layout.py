@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmatch.plans.stages import written
+from lexmatch.plans.stages import dropped, written
 
 LINE = 16  #: node ids that share a cache line
 #: Edges that one task's search may hold; larger graphs are refused.
@@ -103,6 +103,8 @@ class Problem:
         self._swap(x, y)
 
 
+#: Start, rate and end of the reference's cooling schedules.
+SCHEDULES = {"cache": (0.005, 0.999999995, 1e-9), "topological_cache": (0.005, 0.999999995, 1e-9), "topological": (50.0, 0.9999995, 1e-7), "ordering": (5e5, 0.999999, 1e-5)}
 KINDS: dict[str, dict] = {"ordering": {}, "topological": {"topological": True}, "cache": {"line": LINE}, "topological_cache": {"line": LINE, "topological": True}}
 
 
@@ -138,9 +140,20 @@ def _arrays(group: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarra
     return len(node), edge.a.to_numpy(np.int64), edge.b.to_numpy(np.int64), edge.w.to_numpy(np.int64), node.b.to_numpy(bool)
 
 
-def annealed(nodes: DataFrame, edges: DataFrame, kind: str = "cache", seeds: int = 4, start: float = 0.005, rate: float = 0.9999, stop: float = 1e-9) -> DataFrame:
-    """(seed, cost_before, cost_after, order): the best order found by each seed, all from the ids as they are. Seeds run side by side."""
-    options = KINDS[kind]
+def schedule(kind: str, moves: int | None = None) -> tuple[float, float, float]:
+    """(start, rate, stop) of a kind of search: the reference's, or with `moves` one that cools from its start to its end in so many moves."""
+    start, rate, stop = SCHEDULES[kind]
+    return start, rate if moves is None else (stop / start) ** (1 / moves), stop
+
+
+def annealed(nodes: DataFrame, edges: DataFrame, kind: str = "cache", seeds: int = 4, moves: int | None = None, start: float | None = None, rate: float | None = None, stop: float | None = None) -> DataFrame:
+    """(seed, cost_before, cost_after, order): the best order found by each seed, all from the ids as they are. Seeds run side by side.
+
+    By default the search cools as the reference's does, which is 3.1e9 moves for the cache kinds, 4e7 for topological and 2.5e7 for
+    ordering, at some ten thousand moves a second. `moves` shortens that between the same temperatures; start, rate and stop replace them.
+    """
+    options, given = KINDS[kind], schedule(kind, moves)
+    start, rate, stop = (g if x is None else x for x, g in zip((start, rate, stop), given))
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         n, src, dst, weight, terminal = _arrays(group)
@@ -263,6 +276,7 @@ def coarsen(edges: DataFrame, fixed: DataFrame, degree: int, down: bool = False)
         counts = now.groupBy(F.col(far).alias("node")).agg(F.count("*").alias("n")).where(F.col("n") <= degree)
         ready = written(counts.join(fixed, "node", "left_anti").select("node"), "ready")
         if ready.isEmpty():
+            dropped(ready)
             return now
         # of the ready nodes, those without a ready node on the side they go to; cycles can't be, so there is always one
         blocked = now.join(ready.withColumnRenamed("node", near), near, "left_semi").select(F.col(far).alias("node")).distinct()
@@ -271,14 +285,16 @@ def coarsen(edges: DataFrame, fixed: DataFrame, degree: int, down: bool = False)
         beyond = now.join(merged.withColumnRenamed("node", near), near, "left_semi").select(F.col(near).alias("node"), F.col(far).alias("other"))
         fresh = into.join(beyond, "node").select(F.col("to").alias(near), F.col("other").alias(far))
         rest = now.join(merged.withColumnRenamed("node", far), far, "left_anti").join(merged.withColumnRenamed("node", near), near, "left_anti")
-        now = written(rest.select("src", "dst").unionByName(fresh.select("src", "dst")).where("src <> dst").distinct(), "coarse")
+        after = written(rest.select("src", "dst").unionByName(fresh.select("src", "dst")).where("src <> dst").distinct(), "coarse")
+        dropped(now, ready, merged)
+        now = after
 
 
-def shrunk(edges: DataFrame, fixed: DataFrame, degrees: range = range(1, 10)) -> DataFrame:
+def shrunk(edges: DataFrame, fixed: DataFrame, degrees: range = range(1, 10), down: bool = False) -> DataFrame:
     """(coarse, n_nodes, n_edges) after contraction with each degree in turn, each going on from the last."""
     out, now = None, edges.select("src", "dst")
     for degree in degrees:
-        now = coarsen(now, fixed, degree)
+        now = coarsen(now, fixed, degree, down)
         nodes = now.select(F.col("src").alias("v")).union(now.select("dst")).union(fixed.select("node")).agg(F.countDistinct("v").alias("n_nodes"))
         row = nodes.crossJoin(now.agg(F.count("*").alias("n_edges"))).select(F.lit(degree).alias("coarse"), "n_nodes", "n_edges")  # one row each
         out = row if out is None else out.unionByName(row)

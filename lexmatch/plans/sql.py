@@ -9,7 +9,6 @@ def words(column: str, table: str) -> str:
 
 VOCABULARY = words("text", "documents")
 BENCHMARK = words("text", "benchmark")
-NAMES = words("text", "(select p_name as text from part union all select n_name from nation)")
 NOISY = """case length(term) % 4 when 0 then substr(term, 2, 1) || left(term, 1) || substr(term, 3) when 1 then left(term, 1) || substr(term, 3)
     when 2 then left(term, 1) || substr(term, 2, 1) || substr(term, 2, 1) || substr(term, 3) else 'x' || substr(term, 2) end"""
 WORKLOAD = f"select distinct {NOISY} as query from ({BENCHMARK})"
@@ -61,10 +60,15 @@ def lookup(k: int, dictionary: str = VOCABULARY, queries: str = WORKLOAD) -> str
 
 SINGLE = lookup(3, VOCABULARY, "select unnest(['adventures', 'the', 'tion']) as query")
 EXACT = f"select query, term, freq, 0::int as distance from ({WORKLOAD}) join ({VOCABULARY}) on query = term"
-TOTALS = f"with recursive {_near(WORKLOAD, VOCABULARY, 2)} select k::int as k, (select count(*) from found where distance <= k)::bigint as total from unnest([0, 1, 2]) as t(k)"
+TOTALS = f"with recursive {_near(WORKLOAD, VOCABULARY, 3)} select k::int as k, (select count(*) from found where distance <= k)::bigint as total from unnest([0, 1, 2, 3]) as t(k)"
 BEST = f"with recursive {_near(WORKLOAD, VOCABULARY, 1)} select query, term, freq, distance from found qualify row_number() over (partition by query order by distance, freq desc, term) = 1"
 
 
+REPORT = f"""
+with recursive {_near(WORKLOAD, VOCABULARY, 3)} select 'total' as part, k::int as k, null::varchar as term, (select count(*) from found where distance <= k)::bigint as n from unnest([0, 1, 2, 3]) as t(k)
+union all select 'term', 3, term, freq from ({lookup(3, VOCABULARY, "select 'adventures' as query")})"""
+
+
 def matched(how: str) -> str:
     return f"with recursive {_near(WORKLOAD, VOCABULARY, 1)} select query from wanted where {how} (select 1 from found where found.query = wanted.query)"
 
@@ -122,8 +126,56 @@ csr_nodes as materialized (select order_id, (coalesce(sum(degree) over (order by
 {select}"""
 
 
+def coarsened(select: str, near: str = "src", far: str = "dst", last: int = 9) -> str:
+    """select over kept(c, src, dst), the graph after contraction with 1 to c parents (near, far swapped: children), and fixed(node).
+
+    Each step of the recursion is the whole graph: contracted once more while a node has few enough parents, else as it is with the next c.
+    """
+    return automaton(f"""
+select * from (with recursive first as materialized (select distinct src_order as src, dst_order as dst from csr_edges),
+fixed as materialized (select 0::bigint as node union select dst from first where src = 0),
+steps(i, c, stable, src, dst) as (
+  select 0, 1, false, src, dst from first
+  union all
+  select * from (
+    with now as (select * from steps),
+    ready as (select {far} as node from now group by {far} having count(*) <= any_value(c) and {far} not in (select node from fixed)),
+    blocked as (select distinct now.{far} as node from now join ready on now.{near} = ready.node),
+    merged as (select node from ready where node not in (select node from blocked)),
+    parents as (select now.{far} as node, now.{near} as a from now join merged on now.{far} = merged.node),
+    beyond as (select now.{near} as node, now.{far} as b from now join merged on now.{near} = merged.node),
+    next as (select src, dst from now where src not in (select node from merged) and dst not in (select node from merged)
+      union select {"a, b" if near == "src" else "b, a"} from parents join beyond using (node) where a <> b)
+    select i + 1, c + 1, true, src, dst from now where c <= {last} and not exists (select 1 from ready)
+    union all
+    select m.i + 1, m.c, false, next.src, next.dst from next, (select any_value(i) as i, any_value(c) as c from now) m where exists (select 1 from ready))),
+kept as materialized (select c - 1 as c, src, dst from steps where stable)
+{select})""")
+
+
+COARSE_SIZES = """select t.c::int as coarse, (select count(*) from (select src from kept where kept.c = t.c union select dst from kept where kept.c = t.c union select node from fixed))::bigint as n_nodes,
+    (select count(*) from kept where kept.c = t.c)::bigint as n_edges from unnest(range(1, 10)) as t(c)"""
+COARSE_LINKS = """select '{"source":' || src || ',"target":' || dst || '}' as json from kept where c = 1"""
+
 CODEC = f"""select distinct freq, (1 + floor((length(bin(freq)) - 1) / 7))::bigint as unsigned,
-(case when length(bin(freq)) <= 6 then 1 else 1 + ceil((length(bin(freq)) - 6) / 7) end)::bigint as signed from ({NAMES})"""
+(case when length(bin(freq)) <= 6 then 1 else 1 + ceil((length(bin(freq)) - 6) / 7) end)::bigint as signed, freq as unsigned_back, -freq as signed_back from ({VOCABULARY})"""
+
+def packed(x: str, last_bits: int = 7, sign: str = "0", at: str = "i") -> str:
+    """A number from 0 on as a variable-length number in hexadecimal digits: groups of seven bits, the least first, all but the last with 128 added.
+
+    A signed number's last byte holds six bits and the sign. at: a name that isn't a column's.
+    """
+    n = f"greatest(1, 1 + (length(bin({x})) - {last_bits} + 6) // 7)"
+    byte = f"(({x} >> (7 * {at})) & 127) + case when {at} < {n} - 1 then 128 else {sign} end"
+    return f"list_aggregate(list_transform(range(0, {n}), lambda {at}: lpad(lower(to_hex(({byte})::bigint)), 2, '0')), 'string_agg', '')"
+
+
+CODEC_ARRAYS = f"""
+with words as (select left(term, 2) || length(term) as block, term, freq, row_number() over (partition by left(term, 2), length(term) order by term) as place from ({VOCABULARY})),
+digits as (select block, term, place, {packed("freq")} as u, {packed("freq", 6, "case when place % 2 = 0 then 64 else 0 end")} as s from words),
+blocks as (select block, count(*) as n, string_agg(u, '' order by place) as u, string_agg(s, '' order by place) as s, string_agg(term, '' order by place) as t from digits group by block)
+select block, md5(unhex({packed("n")} || u)) as unsigned, md5(unhex({packed("n")} || s)) as signed, md5(unhex({packed("n")} || u)) as ascending,
+    md5(unhex({packed("length(t)")} || {packed("length(t)")} || lower(hex(t)))) as text, true as back from blocks"""
 
 MATH = """
 select o_orderkey, greatest(o_orderkey - o_custkey, 0)::bigint as positive, abs(o_orderkey - o_custkey)::bigint as absolute, least(o_orderkey, o_custkey)::bigint as smaller,

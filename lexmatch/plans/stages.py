@@ -34,7 +34,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and no longer tied to the executors that made it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that written() gave, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def ranked(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:

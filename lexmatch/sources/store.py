@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lexmatch.functions import codec
 
 TABLES = ("dictionary", "nodes", "edges")
-#: Rows that one binary file may hold when it is written; larger indexes are Parquet only.
+#: Nodes, edges and words together that one binary file may hold when it is written; larger indexes are Parquet only.
 FILE_ROWS = 5_000_000
 
 
@@ -41,8 +42,8 @@ def parse_file(data: bytes) -> dict:
 
 
 def export_file(nodes: DataFrame, edges: DataFrame, dictionary: DataFrame) -> bytes:
-    """The binary file of an index; it is one value by its nature, so indexes over FILE_ROWS are refused."""
-    if nodes.limit(FILE_ROWS + 1).count() + edges.limit(FILE_ROWS + 1).count() > FILE_ROWS:
+    """The binary file of an index; it is one value by its nature, so indexes of over FILE_ROWS nodes, edges and words are refused."""
+    if sum(x.limit(FILE_ROWS + 1).count() for x in (nodes, edges, dictionary)) > FILE_ROWS:
         raise ValueError("the index is too large for one file")
     held = nodes.select("order_id", "first_edge", "reachable", "is_terminal").orderBy("order_id").collect()
     steps = edges.select("edge_id", "dst_order", "label").orderBy("edge_id").collect()
@@ -52,16 +53,74 @@ def export_file(nodes: DataFrame, edges: DataFrame, dictionary: DataFrame) -> by
     return file_bytes(first, [-r["dst_order"] if r["dst_order"] in ends else r["dst_order"] for r in steps], "".join(r["label"] for r in steps), [r["reachable"] for r in held], counts)
 
 
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one file, in place of what is there, to any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for i in range(0, len(data), 1 << 20):
+            out.write(data[i : i + (1 << 20)])
+    finally:
+        out.close()
+
+
+def _owners(found: dict) -> list[int]:
+    first, n = found["first_edges"], len(found["targets"])
+    return [i for i in range(len(first)) for _ in range((first[i + 1] if i + 1 < len(first) else n) - first[i])]
+
+
 def import_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, order_id, edge_id, dst_order, is_terminal, label) of every edge in binary files; each file is read in one task."""
+    names = ["path", "order_id", "edge_id", "dst_order", "is_terminal", "label"]
+
+    def rows(name: str, found: dict) -> Iterator[tuple]:
+        for i, (owner, target, label) in enumerate(zip(_owners(found), found["targets"], found["labels"])):
+            yield name, owner, i, abs(target), target < 0, label
+
+    return _read_files(spark, path, names, rows, "path string, order_id bigint, edge_id bigint, dst_order bigint, is_terminal boolean, label string")
+
+
+def import_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, order_id, first_edge, degree, reachable) of every node in binary files."""
+
+    def rows(name: str, found: dict) -> Iterator[tuple]:
+        ends = [*found["first_edges"][1:], len(found["targets"])]
+        for i, (first, end, n) in enumerate(zip(found["first_edges"], ends, found["reachable"])):
+            yield name, i, first, end - first, n
+
+    return _read_files(spark, path, ["path", "order_id", "first_edge", "degree", "reachable"], rows, "path string, order_id bigint, first_edge bigint, degree bigint, reachable bigint")
+
+
+def import_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(path, term, freq, idx): the words of binary files with their frequencies, ready for lookups.
+
+    Words are met in depth-first order, a word before its extensions, which is the order of the frequencies in the file.
+    """
+
+    def rows(name: str, found: dict) -> Iterator[tuple]:
+        first, targets, labels, counts = found["first_edges"], found["targets"], found["labels"], found["counts"]
+        ends, at = [*first[1:], len(targets)], 0
+        todo = [(e, "") for e in reversed(range(first[found["root"]], ends[found["root"]]))] if first else []
+        while todo:
+            edge, before = todo.pop()
+            word, node = before + labels[edge], abs(targets[edge])
+            if targets[edge] < 0:
+                yield name, word, counts[at], at
+                at += 1
+            todo.extend((e, word) for e in reversed(range(first[node], ends[node])))
+        if at != len(counts):
+            raise ValueError(f"{name} has {at} words and {len(counts)} frequencies")
+
+    return _read_files(spark, path, ["path", "term", "freq", "idx"], rows, "path string, term string, freq bigint, idx bigint")
+
 
+def _read_files(spark: SparkSession, path: str, names: list[str], rows: Callable[[str, dict], Iterator[tuple]], schema: str, size: int = 50_000) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch.path, batch.content):
-                found = parse_file(data)
-                first = found["first_edges"]
-                owner = [i for i in range(len(first)) for _ in range((first[i + 1] if i + 1 < len(first) else len(found["targets"])) - first[i])]
-                yield pd.DataFrame({"path": name, "order_id": owner, "edge_id": range(len(owner)), "dst_order": [abs(x) for x in found["targets"]], "is_terminal": [x < 0 for x in found["targets"]], "label": list(found["labels"])})
+                made = rows(name, parse_file(data))
+                while held := [*islice(made, size)]:
+                    yield pd.DataFrame(held, columns=names)
 
     raw = spark.read.format("binaryFile").load(path).select("path", F.col("content"))
-    return raw.mapInPandas(read, "path string, order_id bigint, edge_id bigint, dst_order bigint, is_terminal boolean, label string")
+    return raw.mapInPandas(read, schema)

@@ -178,6 +178,10 @@ def test_store_and_export(spark, tmp_path, case):
     parsed = store.parse_file(data)
     assert parsed["counts"] == [x["freq"] for x in ranks.orderBy("idx").collect()] and len(parsed["targets"]) == rows.edges.count() == len(parsed["labels"])
     (tmp_path / "f.bin").write_bytes(data)
+    store.write_file(spark, str(tmp_path / "g.bin"), data)
+    assert (tmp_path / "g.bin").read_bytes() == data
+    assert sorted(map(tuple, store.import_dictionary(spark, str(tmp_path / "g.bin")).drop("path").collect())) == sorted(map(tuple, ranks.collect()))
+    assert sorted(map(tuple, store.import_nodes(spark, str(tmp_path / "g.bin")).drop("path").collect())) == sorted(map(tuple, rows.nodes().drop("is_terminal").collect()))
     read = store.import_files(spark, str(tmp_path / "f.bin"))
     assert sorted(map(tuple, read.select("edge_id", "order_id", "dst_order", "label").collect())) == sorted(map(tuple, rows.edges.select("edge_id", "src_order", "dst_order", "label").collect()))
     export.write_d3(rows.order, rows.edges, str(tmp_path / "d3"))

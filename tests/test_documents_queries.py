@@ -6,7 +6,7 @@ from lexmatch.operators import automaton, layout, ordering
 from lexmatch.plans import registry
 from lexmatch.plans.stages import written
 
-BASES = "lookup_osa_k3 lookup_pairs_k2 csr_delta_offsets cache_arrangement_cost arranged_edges undirected_graph coarsened_graph d3_nodes d3_links store_round_trip codec_sizes".split()
+BASES = "lookup_osa_k3 lookup_pairs_k2 lookup_deletions_k2 lookup_deletions_k3 csr_delta_offsets cache_arrangement_cost arranged_edges undirected_graph coarsened_graph d3_nodes d3_links store_round_trip binary_round_trip codec_sizes".split()
 
 
 @pytest.fixture(scope="module")
@@ -17,20 +17,20 @@ def small(spark, tmp_path_factory):
     return at
 
 
-def test_all_are_registered():
-    assert {f"{x}_documents" for x in BASES} <= set(registry.QUERIES)
+def test_all_are_registered_with_their_sql():
+    assert set(BASES) <= set(registry.QUERIES) and set(BASES) <= set(registry.ORACLES)
 
 
-def test_words_are_the_documents(spark, small):
-    found = {x["term"]: x["freq"] for x in registry.QUERIES["store_round_trip_documents"](spark, small).collect()}
+@pytest.mark.parametrize("name", ["store_round_trip", "binary_round_trip"])
+def test_words_are_the_documents(spark, small, name):
+    found = {x["term"]: x["freq"] for x in registry.QUERIES[name](spark, small).collect()}
     assert found == {"tap": 2, "taps": 1, "top": 1, "tops": 1, "stop": 1, "zebra": 1, "zebras": 1}
-    assert {x["freq"] for x in registry.QUERIES["codec_sizes_documents"](spark, small).collect()} == {1, 2}
 
 
 def test_graph_is_that_of_the_documents(spark, small):
     rows = ordering.CompressedRows(automaton.Automaton(written(registry.vocabulary(spark, small), "dictionary"), keep=written))
     want = sorted(map(tuple, layout.undirected(rows.edges).collect()))
-    assert want and sorted(map(tuple, registry.QUERIES["undirected_graph_documents"](spark, small).collect())) == want
+    assert want and sorted(map(tuple, registry.QUERIES["undirected_graph"](spark, small).collect())) == want
 
 
 def test_totals_of_three_edits(spark, tmp_path):
@@ -48,6 +48,5 @@ def test_totals_of_three_edits(spark, tmp_path):
                     d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
         return d[len(a), len(b)]
 
-    row = registry.QUERIES["lookup_batch_totals_k3"](spark, str(tmp_path)).collect()
-    want = sum(osa(q, t) <= 3 for q in queries for t in terms)
-    assert len(row) == 1 and row[0]["k"] == 3 and want in row[0].asDict().values()
+    rows = {x["k"]: x["total"] for x in registry.QUERIES["lookup_batch_totals"](spark, str(tmp_path)).collect()}
+    assert rows == {k: sum(osa(q, t) <= k for q in queries for t in terms) for k in range(4)}

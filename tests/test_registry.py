@@ -8,7 +8,6 @@ from lexmatch.plans import registry
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"dawg_topological_order", "csr_nodes", "csr_edges", "arrangement_cost"}  # run at their full size by the driver
 
 
 @pytest.fixture(scope="module")
@@ -25,14 +24,14 @@ def rows(table):
     return sorted(repr(x) for x in table[columns].astype(object).where(table[columns].notna(), None).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, sf_dir, db, name):
     got, want = registry.QUERIES[name](spark, sf_dir).toPandas(), db.execute(registry.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["anneal_layout", "cache_aware_pipeline"])
+@pytest.mark.parametrize("name", ["anneal_layout", "anneal_topological_cache", "cache_aware_pipeline"])
 def test_search_lowers_the_cost(spark, sf_dir, name):
     for row in registry.QUERIES[name](spark, sf_dir).collect():
         assert row["cost_after"] <= row["cost_before"]
