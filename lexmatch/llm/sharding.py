@@ -4,7 +4,7 @@ A record's address is a string of bits: 60 of its id's hash, then 60 of its text
 starts as one bucket; a bucket whose records exceed the byte limit splits on the next bit, and only such buckets do, until every one
 fits or is a single record. That end state doesn't depend on the order of splits: a bucket is the shortest prefix whose records fit.
 So the directory is computed from sums: bytes are added up for prefixes of about four bits more than an even spread would need,
-then for all shorter ones. Only buckets that still don't fit - a third of all rows may share one id - go on to further bits, with
+then for shorter ones as long as any fit. Only buckets that still don't fit - a third of all rows may share one id - go on to further bits, with
 the sums of their own records alone. Nothing is gathered on the driver but the total.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lexmatch.llm import _common
 
 LIMIT, BITS, EXTRA, OVERHEAD = 1 << 20, 60, 4, 8
+LEVELS = 6  #: bits that one pass over the sums goes up
 
 
 def _bits(value: Column) -> Column:
@@ -26,11 +27,24 @@ def _bits(value: Column) -> Column:
 
 
 def _depths(rows: DataFrame, width: int, limit: int) -> DataFrame:
-    """(g, v, depth): for each cell v of `width` bits under the address g, the least number of its bits that makes a bucket fit; null if none does."""
-    cells = rows.groupBy("g", "v").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("rows"))
-    steps = cells.select("g", "v", "n", "rows", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("d")).withColumn("p", F.expr(f"shiftright(v, {width} - d)"))
-    sums = steps.groupBy("g", "d", "p").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).where((F.col("n") <= limit) | (F.col("rows") <= 1))
-    found = steps.select("g", "v", "d", "p").join(sums.select("g", "d", "p", F.lit(True).alias("fits")), ["g", "d", "p"], "left")
+    """(g, v, depth): for each cell v of `width` bits under the address g, the least number of its bits that makes a bucket fit; null if none does.
+
+    Sums go upward from the cells, LEVELS bits at a time. A prefix that doesn't fit has no shorter one that does, so this ends at the first
+    block of levels whose top fits nowhere, a few bits above an even spread's depth; a cell is a row for each level looked at, not for each bit.
+    """
+    cells, _ = _common.materialize(rows.groupBy("g", "v").agg(F.sum("n_bytes").alias("n"), F.count("*").alias("rows")), "cells")
+    now, low, first, fits = cells.withColumnRenamed("v", "p"), width, width, None
+    while True:
+        top = max(0, low - LEVELS)
+        steps = now.select("g", "n", "rows", "p", F.explode(F.sequence(F.lit(top), F.lit(first))).alias("d")).withColumn("p", F.expr(f"shiftright(p, {low} - d)"))
+        sums, _ = _common.materialize(steps.groupBy("g", "d", "p").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), "sums")
+        fitting = sums.where((F.col("n") <= limit) | (F.col("rows") <= 1)).select("g", "d", "p")
+        fits = fitting if fits is None else fits.unionByName(fitting)
+        if not top or fitting.where(F.col("d") == top).isEmpty():
+            break
+        now, low, first = sums.where(F.col("d") == top).drop("d"), top, top - 1
+    steps = cells.select("g", "v", F.explode(F.sequence(F.lit(top), F.lit(width))).alias("d")).withColumn("p", F.expr(f"shiftright(v, {width} - d)"))
+    found = steps.join(fits.withColumn("fits", F.lit(True)), ["g", "d", "p"], "left")
     return found.groupBy("g", "v").agg(F.min(F.when(F.col("fits"), F.col("d"))).alias("depth"))
 
 
