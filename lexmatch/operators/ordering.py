@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,27 +20,36 @@ def child_order(automaton: Automaton) -> DataFrame:
 def word_index(dictionary: DataFrame, automaton: Automaton | None = None) -> DataFrame:
     """(term, freq, idx): a word's rank among all in depth-first order with children by falling score, words before their extensions.
 
-    A word's path is the array of (-score, letter) of its steps; arrays compare step by step and a prefix comes first.
+    A word's path is the string of its letters' places among their siblings, four digits each, so words sort by their paths as strings.
     """
     automaton = automaton or Automaton(dictionary, keep=written)
-    score = automaton.members().join(automaton.scores().select("state", "score"), "state").select("prefix", "score")
-    steps = prefixes(dictionary).where("pos > 0").select("term", "freq", "pos", "prefix").join(score, "prefix")
-    step = F.struct("pos", (-F.col("score")).alias("s"), F.expr("right(prefix, 1)").alias("c"))
-    words = steps.groupBy("term").agg(F.max("freq").alias("freq"), F.array_sort(F.collect_list(step)).alias("steps"))  # as many as a word has letters
-    path = F.transform("steps", lambda x: F.struct(x["s"], x["c"]))
+    score = automaton.members().where("prefix <> ''").join(automaton.scores().select("state", "score"), "state")
+    place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("score"), "label")) - 1  # a node has at most one child per letter
+    nodes = score.select("prefix", "score", F.expr("substring(prefix, 1, length(prefix) - 1)").alias("parent"), F.expr("right(prefix, 1)").alias("label"))
+    nodes = nodes.select("prefix", F.lpad(F.conv(place.cast("string"), 10, 36), 4, "0").alias("place"))
+    steps = prefixes(dictionary).where("pos > 0").select("term", "freq", "pos", "prefix").join(nodes, "prefix")
+    words = steps.groupBy("term").agg(F.max("freq").alias("freq"), F.array_sort(F.collect_list(F.struct("pos", "place"))).alias("steps"))  # as many as a word has letters
+    path = F.array_join(F.col("steps.place"), "")
     return ranked(words.select("term", "freq", path.alias("path")), ["path"], "idx").select("term", "freq", "idx")
 
 
-def topological(automaton: Automaton, every: int = 6) -> DataFrame:
+#: Steps between levels, some tens of bytes each, up to which their order is found in one task; beyond, level by level over all tasks.
+ONE_TASK = 1_000_000
+
+
+def topological(automaton: Automaton, every: int = 6, one_task: int = ONE_TASK) -> DataFrame:
     """(state, level, order_id): ids of a breadth-first topological order, root 0, children visited by label.
 
     A state's level is its longest path from the root. Within a level, states follow their last visited parent, and under one
     parent the label. That is settled level by level: a state's key is the greatest key of its parents one level up, and the
-    least label from there. The loop runs once per letter of the longest word; every few rounds the keys so far are written.
+    least label from there. A graph whose steps are counted to be at most `one_task` is ordered in one task. For a larger one a loop of
+    joins runs once per letter of the longest word; every few rounds the keys so far are written. Both give the same ids.
     """
     levels = automaton.states.select("state", "level")
     steps = automaton.edges().join(levels.select(F.col("state").alias("src"), F.col("level").alias("up")), "src").join(levels.select(F.col("state").alias("dst"), "level"), "dst")
     steps = written(steps.where("up = level - 1").select("src", "label", "dst", "level"), "steps")
+    if steps.limit(one_task + 1).count() <= one_task:
+        return steps.withColumn("graph", F.lit(0)).groupBy("graph").applyInPandas(_ordered, "state string, level int, order_id bigint")
     depth = levels.agg(F.max("level").alias("m")).first()["m"] or 0
     now = automaton.states.where(F.col("state") == ROOT).select("state", F.lit("").alias("key"))
     found, recent = None, now.withColumn("level", F.lit(0))
@@ -57,6 +67,18 @@ def topological(automaton: Automaton, every: int = 6) -> DataFrame:
     return ranked(found.select("state", "level", "key"), ["level", "key"], "order_id").select("state", "level", "order_id")
 
 
+def _ordered(steps: pd.DataFrame) -> pd.DataFrame:
+    """topological() of one table of steps. A state's place in its level stands for its key."""
+    names, places = [pd.DataFrame({"state": [ROOT], "level": [0]})], pd.Series([0], index=[ROOT])
+    for level, near in steps.groupby("level", sort=True):
+        near = near.assign(parent=places.reindex(near["src"]).to_numpy(), letter=near["label"].map(ord))
+        last = near.sort_values(["parent", "letter"], ascending=[False, True]).drop_duplicates("dst").sort_values(["parent", "letter"])
+        places = pd.Series(range(len(last)), index=last["dst"].to_numpy())
+        names.append(pd.DataFrame({"state": last["dst"].to_numpy(), "level": int(level)}))
+    found = pd.concat(names, ignore_index=True)
+    return found.assign(order_id=range(len(found)))
+
+
 class CompressedRows:
     """The automaton as node and edge tables with dense ids, edges of a node next to each other in sibling order."""
 

@@ -102,6 +102,7 @@ def test_topological_order_and_compressed_rows(case):
     order = breadth_first(words)
     rows = ordering.CompressedRows(found)
     assert [x["state"] for x in rows.order.orderBy("order_id").collect()] == order
+    assert sorted(map(tuple, ordering.topological(found, one_task=0).collect())) == sorted(map(tuple, rows.order.select("state", "level", "order_id").collect()))
     edges, nodes = rows.edges.orderBy("edge_id").collect(), rows.nodes().orderBy("order_id").collect()
     assert [x["edge_id"] for x in edges] == [*range(len(edges))] and all(x["src_order"] < x["dst_order"] for x in edges)
     first = 0
