@@ -204,18 +204,23 @@ class _Frames:
 
     def _head(self, piece: bytes) -> tuple[dict[str, str], int, int | None]:
         """A record's headers, where its block begins, and how long that should be."""
-        head = piece.partition(b"\r\n\r\n")[0]
-        pairs = dict(y for line in head.decode("utf-8", "replace").split("\r\n") if (y := tuple(z.strip() for z in line.partition(":")[::2]))[0])
-        size = next((v for k, v in pairs.items() if k.lower() == "content-length"), "")
-        return pairs, len(head) + 4, int(size) if re.fullmatch("[0-9]{1,15}", size) else None
-
-    def _record(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-        pairs, at, n = self._head(data)
+        end = piece.find(b"\r\n\r\n")
+        end = len(piece) if end < 0 else end
+        pairs, n = {}, None
+        for line in piece[:end].decode("utf-8", "replace").split("\r\n"):
+            name, _, value = line.partition(":")
+            if name := name.strip():
+                pairs[name] = value = value.strip()
+                if len(name) == 14 and name.lower() == "content-length":
+                    n = int(value) if len(value) < 16 and value.isascii() and value.isdigit() else None
+        return pairs, end + 4, n
+
+    def _record(self, data: bytes, head: tuple[dict[str, str], int, int | None] | None = None) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+        pairs, at, n = head or self._head(data)
         if pairs:
             yield pairs, data[at:] if n is None else data[at : at + n], n is not None and len(data) >= at + n
 
     def piece(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-        piece = piece if self.held else piece.removeprefix(self.prefix)
         if self.held:
             self.held.append(piece)
             self.size += len(self.gap) + len(piece)
@@ -228,11 +233,14 @@ class _Frames:
                 return
             self.held.pop()
             yield from self.end()  # the length ends within a record, so it is wrong
-        _, at, n = self._head(piece)
+        else:
+            piece = piece.removeprefix(self.prefix)
+        head = self._head(piece)
+        _, at, n = head
         if n and len(piece) < at + n:
             self.held, self.size, self.want = [piece], len(piece), at + n
         else:
-            yield from self._record(piece)
+            yield from self._record(piece, head)
 
     def end(self) -> Iterator[tuple[dict[str, str], bytes, bool]]:
         """What is held is not whole; the pieces after its first one are records of their own."""
@@ -251,7 +259,7 @@ def read(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
     follows one whose length is far too great, at most a file's rest.
     """
     raw = spark.read.option("lineSep", f"{_END}{version}\r\n").text(path)
-    raw = raw.select(F.col("value").cast("binary").alias("value"), F.concat_ws(" ", "_metadata.file_block_start", "_metadata.file_path").alias("split"))
+    raw = raw.select(F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path", "_metadata.file_block_start").alias("split"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[tuple[dict[str, str], bytes, bool]]) -> pa.RecordBatch:
