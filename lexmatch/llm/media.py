@@ -30,7 +30,7 @@ from lexmatch.llm.html import Reader
 UNIT, WIDTH = 576, 576
 MEDIA_TAGS = frozenset({"img", "video", "audio", "source", "embed"})
 _PNG = b"\x89PNG\r\n\x1a\n"
-_REMEMBERED = 50_000
+_REMEMBERED, _SLICE = 50_000, 256
 ENTRY = "struct<pos:int,kind:string,text:string,ref:string,digest:string,caption:string>"
 _FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -138,7 +138,9 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence(x.as_py()) for x in batch.column(1)], entries)], names=["id", "entries"])
+            for at in range(0, batch.num_rows, _SLICE):  # the entries of a few pages at a time
+                part = batch.slice(at, _SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sequence(x.as_py()) for x in part.column(1)], entries)], names=["id", "entries"])
 
     return rows.mapInArrow(read, f"id {dict(rows.dtypes)['id']}, entries array<{ENTRY}>")
 
@@ -224,5 +226,6 @@ def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = F.transform(F.filter("entries", lambda x: x["kind"] == "text"), lambda x: x["text"])
     whole = F.struct("id.doc_id", "id.n_bytes", F.size(texts).cast("long").alias("n_texts"), F.sha2(F.array_join(texts, "\n"), 256).alias("texts_sha256"))
     found = sequences(pages).select(whole.alias("id"), F.filter("entries", lambda x: x["kind"] == "media").alias("entries"))
+    found, _ = _common.materialize(found, "entries")  # short rows, which the join reads twice; pages are read once
     features, _ = _common.materialize(described(store(held.select(data.alias("data")), "data")), "features")  # so the join reads plain tables, and hot digests can be split
     return resolve(found, features).select("id.doc_id", "id.n_bytes", *[x.split()[0] for x in _FEATURES.split(", ")[1:]], F.col("pos").cast("long").alias("pos"), "caption", "id.n_texts", "id.texts_sha256")
