@@ -3,8 +3,8 @@
 Each partition keeps a fixed number of open windows. A document fills whole sequences of its own as far as it goes; what remains
 is placed best-fit, into the open window with the least room that holds it. When none holds it, the fullest window is emitted
 (a piece is cut to fill it if its room is at least `min_cut`, so that padding stays small) and a new one is opened. Windows that
-are open at a partition's end are merged afterwards, in groups of `fan_in` partitions and level by level until one is left, so no
-task ever gets more than fan_in * windows * (size - 1) tokens. A task holds the open windows and one document at a time.
+are open at a partition's end are merged once, in groups of `fan_in` partitions, so no task ever gets more than
+fan_in * windows * (size - 1) tokens; each group leaves one sequence that isn't full. A task holds the open windows and one document at a time.
 """
 
 from __future__ import annotations
@@ -99,7 +99,10 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, min_cut: int
     A document is its text's ids and end_id; a null text counts as empty, so its document is end_id alone. Null and repeated ids
     are kept: every input row is packed. Other columns are ignored; an empty table gives no rows. The only rows that move between
     tasks are those of open windows. The first pass is written once in the shared folder, so that both readers see the same cuts.
+    A size, number of windows or fan-in below one raises ValueError.
     """
+    if min(size, windows, fan_in) < 1:
+        raise ValueError(f"size {size}, windows {windows} and fan_in {fan_in} are one at least")
     tail = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

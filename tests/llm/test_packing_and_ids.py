@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -63,19 +64,26 @@ def test_packing_places_each_id_once(spark, parts):
             at += length
         assert at <= 1024
     assert sum(p["length"] for p in pieces) == sum(len(x[2]) for x in want)
-    for _, i, own in want:
-        if i not in (3, 0):
-            at = 0
-            for start, length, check in sorted(whole[i, len(own)]):
-                assert start == at and check == crc(own[start : start + length])
-                at += length
-            assert at == len(own)
+    copies = Counter((i, len(own)) for i, own in ((i, (*ids(t), 0)) for i, t in rows))
+    texts = {(i, len(own)): own for i, own in ((i, (*ids(t), 0)) for i, t in rows)}
+    assert len({(i, tuple(ids(t))) for i, t in rows}) == len(texts)  # so rows with one id and length are repeats
+    assert set(whole) == set(copies)
+    for key, own in texts.items():
+        covered = Counter()
+        for start, length, check in whole[key]:
+            assert check == crc(own[start : start + length])
+            covered.update(range(start, start + length))
+        assert covered == Counter({k: copies[key] for k in range(len(own))})
     full = sum(p["length"] for p in pieces) / 1024
     assert len(sequences) <= full * 1.02 + parts / 2 + 1 + parts * 4 * 16 / 1024
 
 
 def test_packing_an_empty_table_and_bad_size(spark):
-    assert packing.pack(spark.createDataFrame([], "doc_id int, text string")).isEmpty()
+    none = spark.createDataFrame([], "doc_id int, text string")
+    assert packing.pack(none).isEmpty()
+    for bad in ({"size": 0}, {"windows": 0}, {"fan_in": -1}):
+        with pytest.raises(ValueError, match="one at least"):
+            packing.pack(none, **bad)
 
 
 @settings(max_examples=200, deadline=None)
