@@ -5,12 +5,18 @@ alphabet is words: a shift table of blocks of two words says how far the search
 of zero leads to the bucket of the windows with this last block and these first words, and comparing all words confirms an
 occurrence. Windows of one length share tables; lengths below two use blocks of one word. A window is kept as its place in its
 item, so the tables take a few hundred bytes a window, whatever its length.
+
+A benchmark whose tables a task can't hold is searched for in blocks. Then a sieve comes first: the same search over hashed tables of
+the whole benchmark, a byte of shift and a byte of bucket to a slot, which can only let too many texts through. All texts are read
+once; only those with a possible occurrence go on to the blocks' tables, one block after another.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 from lexmatch.llm import _common
 
 WINDOW = 13
-#: Bytes of item text whose tables a task holds; a larger benchmark is searched for in blocks of about so much each, one after another.
+#: Bytes of item text whose tables a task holds; a larger benchmark is searched for in blocks of about so much each, after the sieve.
 BLOCK_BYTES = 4 << 20
 _FIRST = 3
 #: ASCII letters to lower case; all other ASCII but digits to space. Bytes from 0x80 on stay, so words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+.
@@ -85,6 +91,49 @@ class WuManber:
             end += 1
 
 
+class Sieve:
+    """WuManber's search over hashed tables of a fixed size: tells texts in which no window of one length can occur."""
+
+    def __init__(self, length: int, bits: int) -> None:
+        self.length, self.block, self.mask = length, min(2, length), (1 << bits) - 1
+        self.shift, self.full = bytearray([length - self.block + 1]) * (1 << bits), bytearray(1 << bits)
+
+    def _slot(self, at: list[bytes], end: int) -> int:
+        return zlib.crc32(at[end] if self.block == 1 else at[end - 1] + b" " + at[end]) & self.mask
+
+    def _bucket(self, at: list[bytes], first: int) -> int:
+        last = first + self.length
+        return zlib.crc32(b" ".join((*at[first : min(first + _FIRST, last)], at[last - self.block], at[last - 1]))) & self.mask
+
+    def add(self, text: list[bytes]) -> None:
+        for end in range(self.block - 1, len(text)):
+            slot = self._slot(text, end)
+            self.shift[slot] = min(self.shift[slot], max(0, self.length - 1 - end))
+        for first in range(len(text) - self.length + 1):
+            self.full[self._bucket(text, first)] = 1
+
+    def passes(self, text: list[bytes]) -> bool:
+        end, n = self.length - 1, len(text)
+        while end < n:
+            far = self.shift[self._slot(text, end)]
+            if not far and self.full[self._bucket(text, end - self.length + 1)]:
+                return True
+            end += far or 1
+        return False
+
+
+def sieves(blocks: Iterable[list[tuple[str, str]]], window: int, bits: int) -> list[Sieve]:
+    """A sieve of 2^bits slots for the full length, and of less for those of short items, which are few."""
+    found: dict[int, Sieve] = {}
+    for block in blocks:
+        for _, text in block:
+            own = words(text)
+            if own:
+                length = min(window, len(own))
+                found.setdefault(length, Sieve(length, bits if length == window else min(bits, 20))).add(own)
+    return [found[k] for k in sorted(found)]
+
+
 def build(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[WuManber]:
     """A searcher for each window length that the items (id, text) have."""
     found: dict[int, WuManber] = {}
@@ -166,14 +215,30 @@ def _scan(rows: DataFrame, at: int, block: list[tuple[str, str]], window: int, h
     return rows.mapInArrow(scan, ", ".join([*[f"{rows.columns[i]} {rows.dtypes[i][1]}" for i in kept], _FOUND]))
 
 
+def _sieved(rows: DataFrame, at: int, own: list[Sieve]) -> DataFrame:
+    """rows with n_words, and whether a window may occur."""
+    sent = rows.sparkSession.sparkContext.broadcast(own)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, passes = [], []
+            for x in batch.column(at):
+                found = words(x.as_py())
+                sizes.append(len(found))
+                passes.append(any(s.passes(found) for s in sent.value))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(passes, pa.bool_())], names=[*batch.schema.names, "n_words", "passes"])
+
+    return rows.mapInArrow(scan, ", ".join(f"{name} {kind}" for name, kind in rows.dtypes) + ", n_words long, passes boolean")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = 0.05, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", names: Sequence[str] = ("_n_words", "_n_hit", "_items", "_contaminated")) -> DataFrame:
     """docs with the columns `names`: words, words hit, sorted ids of occurring items, and whether it is contaminated; the input's columns stay.
 
     A document is contaminated if hits are some and at least min_share of its words. Null and empty texts have no words and no
     hits. Items with null id or text are ignored; repeated items count once; an empty benchmark hits nothing. Every word of
     every text is searched. A benchmark of up to block_bytes takes a single narrow pass without a shuffle. Of a larger one the
-    driver and a task hold one block at a time: each further block is searched for in a pass of its own over numbered texts,
-    whose hits alone are kept and joined. A caller whose columns may clash with `names` gives others.
+    driver and a task hold one block at a time, and the sieve: each block is searched for in a pass of its own over the texts that
+    the sieve lets through, and its hits are joined. A caller whose columns may clash with `names` gives others.
     """
     plain = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)])
     at = docs.columns.index(text_col)
@@ -182,17 +247,18 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share:
     if second is None:
         out = _scan(plain, at, first, window, False)
     else:
-        numbered, _ = _common.materialize(plain.withColumn("row", F.monotonically_increasing_id()), "texts")
-        base = _scan(numbered, at, first, window, False)
-        texts, hits = numbered.select("row", f"c{at}"), None
-        while second is not None:
-            more, _ = _common.materialize(_scan(texts, 1, second, window, True), "hits")
+        size = benchmark.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0]
+        # a slot for each word at least, up to 2^26: 128 MB at any size of the benchmark
+        sieved = _sieved(plain.withColumn("row", F.monotonically_increasing_id()), at, sieves(chain([first, second], parts), window, min(26, max(16, (size // 4).bit_length()))))
+        base, _ = _common.materialize(sieved, "sieved")
+        left, _ = _common.materialize(base.where("passes").select("row", f"c{at}"), "texts")
+        hits = None
+        for block in blocks(benchmark, item_id, item_text, block_bytes):
+            more, _ = _common.materialize(_scan(left, 1, block, window, True), "hits")
             hits = more if hits is None else hits.unionByName(more)
-            second = next(parts, None)
-        gathered = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))  # a row for each block at most
+        gathered = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row for each block at most
         joined = base.join(gathered, "row", "left")
-        add = lambda a, b, kind: F.concat(a, F.coalesce(b, F.array().cast(kind)))
-        out = joined.withColumn("spans", F.array_sort(add("spans", F.col("more_spans"), "array<struct<a:long,b:long>>"))).withColumn("items", F.array_sort(F.array_distinct(add("items", F.col("more_items"), "array<string>"))))
+        out = joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<a:long,b:long>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n"))
     out = out.withColumn("n_hit", F.aggregate("spans", start, step, lambda s: s["n"]))

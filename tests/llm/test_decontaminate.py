@@ -61,3 +61,14 @@ def test_shares(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
     docs = spark.createDataFrame([(1, "one two three " + "x " * 57), (2, "one two three " + "x " * 58)], "doc_id int, text string")
     assert [x["_contaminated"] for x in d.find(docs, bench).orderBy("doc_id").collect()] == [True, False]
+
+
+@pytest.mark.parametrize("bits", [4, 16])
+def test_a_sieve_lets_every_text_with_a_hit_through(bits):
+    for window in (1, 2, 5, 13):
+        items, docs = case(window, 200, "a b c d e f g h É Straße".split())
+        items = [(i, t) for i, t in items if t]
+        tables, own = d.build(items, window), d.sieves([items[:4], items[4:]], window, bits)
+        passed = [any(s.passes(d.words(t)) for s in own) for _, t in docs]
+        assert all(p or not d.search(t, tables)[1] for p, (_, t) in zip(passed, docs))
+        assert bits < 16 or window < 5 or not all(passed)
