@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexmatch.llm import _common, simhash
 from lexmatch.llm.components import components
 
-WORDS, SEED, FAMILIES = 5, 42, 4
+WORDS, SEED, FAMILIES = 5, 42, 6
 LEAST = (4, 5)  #: similarity that links, as a fraction
 BLOCK = 1 << 18  #: shingles of a block of a group, 2 MB
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -162,7 +162,8 @@ def confirmed(members: DataFrame, block: int = BLOCK) -> DataFrame:
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
     pairs = sets.select("root", "item", "block", F.explode(others).alias("other"), "own")
     pairs = pairs.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "item", "own")
-    return pairs.groupBy("root", "i", "j").applyInArrow(lambda group: _forest(group.select(["item", "own"])), "a long, b long")
+    # dealt by all three, as a group's tasks would else stay together where its root was joined
+    return pairs.repartition("root", "i", "j").groupBy("root", "i", "j").applyInArrow(lambda group: _forest(group.select(["item", "own"])), "a long, b long")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -47,10 +47,10 @@ def test_linked_equals_brute_force():
 
 
 def slow_fingerprints(text):
-    """Four fingerprints of a text's words by their definition, with a word's weight the bits of its count."""
+    """Six fingerprints of a text's words by their definition, with a word's weight the bits of its count."""
     words = text.encode().lower().split() if text else []
     out, mask = [], (1 << 64) - 1
-    for family in range(1, 5):
+    for family in range(1, 7):
         ones = [0] * 64
         for w in set(words):
             x = xxh64_intdigest(w, 42) + family * 0x9E3779B97F4A7C15 & mask
@@ -87,7 +87,7 @@ def test_fingerprints():
     for t in texts()[::5] + ["long text " * 9000 + " ".join(f"w{i}" for i in range(20_000))]:
         if not t or len(t) < 5000:
             assert near_copies.word_fingerprints(t) == slow_fingerprints(t)
-        assert len(near_copies.word_fingerprints(t)) == (4 if t and t.strip() else 0)
+        assert len(near_copies.word_fingerprints(t)) == (6 if t and t.strip() else 0)
 
 
 def test_stage_over_the_tables(spark, sf_dir):
