@@ -13,9 +13,9 @@ import math
 import re
 import warnings
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -35,9 +35,9 @@ def _at(name: str) -> int:
 
 
 class _Words(dict):
-    """Places of a word and its prefixes; emptied when it holds _MEMO words."""
+    """Places of a word and its prefixes, as bytes of 32-bit numbers; emptied when it holds _MEMO words."""
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if word[:1].isalpha():
             whole, mask = word.encode("utf-8", "surrogatepass"), (1 << BITS) - 1
             made = [zlib.crc32(whole, 1) & mask]
@@ -49,11 +49,12 @@ class _Words(dict):
                     made.append(sofar & mask)
         else:
             made = [_at(f"s {word[:4]}"), _at(f"s {word[:1]}")]
+        found = array("i", made).tobytes()
         if len(word) <= 40:
             if len(self) >= _MEMO:
                 self.clear()
-            self[word] = made
-        return made
+            self[word] = found
+        return found
 
 
 _words = _Words()
@@ -70,8 +71,8 @@ def features(text: str | None) -> np.ndarray:
     tokens = _PARTS.findall(text)
     lower = [*map(str.lower, tokens)]
     seen = set(lower)
-    places = np.array([*chain.from_iterable(map(_words.__getitem__, seen))], np.int64)
-    own, counts = np.unique(places, return_counts=True)
+    own, counts = np.unique(np.frombuffer(b"".join(map(_words.__getitem__, seen)), np.int32), return_counts=True)
+    own = own.astype(np.int64)
     often = [(own[counts >= k] * 0x9E3779B1 + k) % (1 << BITS) for k in (3, 8)]
     n = len(tokens) or 1
     lines = text.split("\n")

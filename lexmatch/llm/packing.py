@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lexmatch.llm import _common, tokens
 
 SIZE, WINDOWS, MIN_CUT, FAN_IN = 1024, 64, 16, 8
+MEMO = 500_000  #: words whose ids a worker holds, some 120 MB with their parts
 PIECES = pa.schema([("doc_id", pa.int64()), *[(x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 OPEN = pa.schema([*PIECES, ("part", pa.int64()), ("ids", pa.binary())])
 _DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = WINDOWS, min_cut: int
     tail = end_id.to_bytes(4, "little")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, part = tokens.encoder(tokenizer), Packer(size, windows, min_cut), TaskContext.get().partitionId()
+        encoder, packer, part = tokens.encoder(tokenizer, MEMO), Packer(size, windows, min_cut), TaskContext.get().partitionId()
 
         def sequences() -> Iterator[list]:
             for batch in batches:

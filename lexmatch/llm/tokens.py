@@ -94,6 +94,6 @@ class WordEncoder:
 
 
 @lru_cache(4)
-def encoder(path: str | None = None) -> WordEncoder:
+def encoder(path: str | None = None, entries: int = 1_000_000) -> WordEncoder:
     """This process's encoder; Python workers that are used again keep their memos."""
-    return WordEncoder(path)
+    return WordEncoder(path, entries)
