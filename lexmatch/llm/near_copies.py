@@ -154,7 +154,7 @@ def groups(items: DataFrame) -> DataFrame:
 
 def confirmed(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) whose components are those of all links among items of a group; members: (root, item, n shingles, text)."""
-    sizes = members.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).where("texts > 1")
+    sizes, _ = _common.materialize(members.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).where("texts > 1"), "sizes")  # so a large group can be split in the join
     blocks = F.ceil(F.col("total") / block).cast("int")
     dealt = members.join(sizes.hint("merge"), "root").select("root", "item", blocks.alias("blocks"), F.pmod(F.xxhash64("item"), blocks).cast("int").alias("block"), "text")
     sets = dealt.mapInArrow(_sets, "root long, item long, blocks int, block int, own array<long>")
