@@ -116,7 +116,9 @@ class Reader:
 
     def _close_omitted(self, name: str) -> None:
         """Ends open p elements and those that `name` ends, up to the nearest fence that it doesn't end."""
-        gone = CLOSES.get(name, frozenset())
+        gone = CLOSES.get(name, ())
+        if not gone and not self._places.get("p"):
+            return
         k = len(self._fences) - 1
         while k >= 0 and self._open[self._fences[k]].name in gone:
             k -= 1
@@ -170,13 +172,14 @@ class Reader:
 
     def _read(self, page: str) -> None:
         at, n, low = 0, len(page), None
+        find, match, cut = page.find, _TOKEN.match, page[-1:] != ">"
         while at < n:
-            i = page.find("<", at)
+            i = find("<", at)
             if i < 0:
                 self._text(page[at:])
                 break
-            m = _TOKEN.match(page, i)
-            if m is None or m[2] and m.end() == n and page[-1:] != ">":
+            m = match(page, i)
+            if m is None or cut and m[2] and m.end() == n:
                 m = _LOOSE.match(page, i)  # a quote that isn't closed, or a tag
             if m is None:
                 self._text(page[at : i + 1])
@@ -185,12 +188,13 @@ class Reader:
             if i > at:
                 self._text(page[at:i])
             at = m.end()
-            if not m[2]:
+            end, name, attrs = m.groups()
+            if not name:
                 continue
-            name = m[2].lower()
-            if m[1]:
+            name = name.lower()
+            if end:
                 self._end(name)
-            elif name in RAW and name not in self._media and not m[3].endswith("/"):
+            elif name in RAW and name not in self._media and not attrs.endswith("/"):
                 if name not in ("svg", "math"):
                     self._flush()
                 low = page.lower() if low is None else low
@@ -204,5 +208,5 @@ class Reader:
                 close = page.find(">", end)
                 at = n if close < 0 else close + 1
             else:
-                self._start(name, m[3])
+                self._start(name, attrs)
         self._flush()

@@ -27,6 +27,22 @@ RECORD = "headers map<string,string>, block binary"
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 
 
+def _to_maps(rows: list[dict[str, str]]) -> pa.Array:
+    """Headers as a column of maps; from flat keys and values, as rows of pairs take Arrow many times as long."""
+    offsets, keys, values = [0], [], []
+    for row in rows:
+        keys.extend(row)
+        values.extend(row.values())
+        offsets.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+
+
+def _from_maps(column: pa.MapArray) -> list[dict[str, str | None]]:
+    """The maps of a column; a null one is empty."""
+    keys, values, offsets = column.keys.to_pylist(), column.items.to_pylist(), column.offsets.to_pylist()
+    return [dict(zip(keys[a:b], values[a:b])) for a, b in zip(offsets, offsets[1:])]
+
+
 def digest(data: bytes) -> str:
     return f"sha256:{hashlib.sha256(data).hexdigest()}"
 
@@ -55,9 +71,9 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
                 whole = digest(payload)
                 own = {"WARC-Type": "response", "WARC-Record-ID": urn("response", str(key), url, whole, str(place)), "WARC-Date": date, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": whole, "WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
-                headers.append([*({**own, "WARC-Target-URI": clean(url)} if url else own).items()])
+                headers.append({**own, "WARC-Target-URI": clean(url)} if url else own)
                 blocks.append(block)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _to_maps(headers), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
 
     return rows.mapInArrow(make, f"key long, {RECORD}")
 
@@ -173,15 +189,15 @@ def derive(records: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, headers, blocks = [], [], []
-            for key, own, block, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                given = {k: v or "" for k, v in own or []}
+            for key, own, block, place in zip(batch.column(0).to_pylist(), _from_maps(batch.column(1)), batch.column(2), batch.column(3).to_pylist()):
+                given = {k: v or "" for k, v in own.items()}
                 if next((v for k, v in given.items() if k.lower() == "warc-type"), "response") != "response":
                     continue
                 for head, data in derivatives(given, block.as_py() or b"", place=str(place)):
                     keys.append(key)
-                    headers.append([*head.items()])
+                    headers.append(head)
                     blocks.append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), _to_maps(headers), pa.array(blocks, pa.binary())], names=["key", "headers", "block"])
 
     return rows.mapInArrow(make, f"key {dict(rows.dtypes)['key']}, {RECORD}")
 
@@ -263,7 +279,7 @@ def read(spark: SparkSession, path: str, version: str = VERSION) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[tuple[dict[str, str], bytes, bool]]) -> pa.RecordBatch:
-            made = [pa.array([[*h.items()] for h, _, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b, _ in found], pa.binary()), pa.array([w for _, _, w in found], pa.bool_())]
+            made = [_to_maps([h for h, _, _ in found]), pa.array([b for _, b, _ in found], pa.binary()), pa.array([w for _, _, w in found], pa.bool_())]
             return pa.RecordBatch.from_arrays(made, names=["headers", "block", "whole"])
 
         frames, split = _Frames(version), None
