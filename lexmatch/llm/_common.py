@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a file of a table whose number of rows has a known bound.
+FILE_ROWS = 1 << 17
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,6 +40,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def few(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in as few partitions as `rows` rows at most need, or as it is where no bound is known.
+
+    Each file costs its own work in a store; on a local disk Hadoop starts processes for it, to set its mode.
+    """
+    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Writes df once as Parquet in the shared folder and reads it back.
 

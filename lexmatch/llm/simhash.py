@@ -180,9 +180,11 @@ def cluster(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed: int
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made, _ = _common.materialize(fingerprints(own, words, seed).select(F.col("c0").alias("doc_id"), "fp"), "fingerprints")
-    values, _ = _common.materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
-    roots = components(links(values.select("fp"), radius, bucket)).withColumnRenamed("node", "fp")
+    rows = made.count()
+    values, _ = _common.materialize(_common.few(made.groupBy("fp").agg(F.min("doc_id").alias("first")), rows), "values")
+    near = links(values.select("fp"), radius, bucket)
+    roots = components(near, near.count()).withColumnRenamed("node", "fp")
     named = values.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    mapping, _ = _common.materialize(named.join(least, "root").select("fp", "component_id"), "classes")
+    mapping, _ = _common.materialize(_common.few(named.join(least, "root").select("fp", "component_id"), rows), "classes")
     return made.join(mapping, "fp").select("doc_id", "fp", "component_id")

@@ -1,10 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from lexmatch.llm import simhash
+from lexmatch.llm import _common, simhash
 from lexmatch.llm.components import components
 
 
@@ -115,3 +116,35 @@ def test_forest_connects_what_pairs_do():
     at = {int(x): i for i, x in enumerate(values)}
     edges = [(at[int(x)], at[int(y)]) for a, b in simhash._forest(values, 2) for x, y in zip(a, b)]
     assert len(edges) < len(values) and roots(len(values), edges) == roots(len(values), pairs)
+
+
+@pytest.mark.parametrize("limit", [None, 9])
+def test_files_follow_rows_not_partitions(spark, monkeypatch, limit):
+    """Small tables at many partitions: on a local disk each file starts processes, which share an executor's memory until they run."""
+    if limit:
+        monkeypatch.setattr(_common, "FILE_ROWS", limit)
+    write, files = _common.materialize, {}
+
+    def counted(df, label):
+        found, path = write(df, label)
+        files[label] = max(files.get(label, 0), len(list(Path(path.removeprefix("file://")).glob("part-*"))))
+        return found, path
+
+    monkeypatch.setattr(_common, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "41", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = [(i, t) for i, t in enumerate(texts())]
+        f = [slow_fingerprint(t) for _, t in rows]
+        want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 4])
+        got = {x["doc_id"]: x["component_id"] for x in simhash.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(want))
+    if limit:
+        assert all(1 < files[k] <= -(-len(rows) // limit) for k in ("values", "classes"))
+    else:
+        assert {files[k] for k in ("values", "edges", "hooks", "classes")} == {1}
