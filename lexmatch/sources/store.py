@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmatch.functions import codec
+from lexmatch.plans.stages import written
 
 TABLES = ("dictionary", "nodes", "edges")
-#: Nodes, edges and words together that one binary file may hold when it is written; larger indexes are Parquet only.
-FILE_ROWS = 5_000_000
+#: Bytes that one binary file may have, as Spark reads a file as one value; larger indexes are Parquet only.
+FILE_BYTES = (1 << 31) - (1 << 20)
 
 
 def save(path: str, **tables: DataFrame) -> None:
@@ -41,86 +42,160 @@ def parse_file(data: bytes) -> dict:
     return {"size": at.unsigned(), "root": at.signed(), "first_edges": at.ascending_array(), "targets": at.signed_array(), "labels": at.text(), "reachable": at.unsigned_array(), "counts": at.unsigned_array()}
 
 
-def export_file(nodes: DataFrame, edges: DataFrame, dictionary: DataFrame) -> bytes:
-    """The binary file of an index; it is one value by its nature, so indexes of over FILE_ROWS nodes, edges and words are refused."""
-    if sum(x.limit(FILE_ROWS + 1).count() for x in (nodes, edges, dictionary)) > FILE_ROWS:
+def export_pieces(nodes: DataFrame, edges: DataFrame, dictionary: DataFrame, limit: int = FILE_BYTES) -> Iterator[bytes]:
+    """The binary file of an index, as file_bytes() makes it, in pieces of some kilobytes in their order.
+
+    The numbers are put in order and packed by the executors; the driver holds one partition of packed pieces at a time. An index whose
+    file would be over `limit` bytes is refused. Offsets as differences are the nodes' degrees.
+    """
+    ends = nodes.where("is_terminal").select(F.col("order_id").alias("dst_order"), F.lit(-1).alias("sign"))
+    target = edges.join(ends, "dst_order", "left").select("edge_id", F.col("dst_order") * F.coalesce("sign", F.lit(1)), "label")
+    row = lambda df, part, at, value, label: df.select(F.lit(part).alias("part"), F.col(at).alias("at"), F.col(value).cast("bigint").alias("value"), label.alias("label"))
+    none, target = F.lit(None).cast("string"), target.toDF("edge_id", "target", "label")
+    # a target and its label stand in two parts of the file, so edges come twice
+    rows = row(nodes, 0, "order_id", "degree", none).unionByName(row(target, 1, "edge_id", "target", none)).unionByName(row(target, 2, "edge_id", "target", F.col("label")))
+    rows = rows.unionByName(row(nodes, 3, "order_id", "reachable", none)).unionByName(row(dictionary, 4, "idx", "freq", none))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, values = batch["part"].to_numpy(), batch["value"].to_numpy()
+            for part in np.unique(parts):
+                first, end = np.searchsorted(parts, part), np.searchsorted(parts, part, "right")
+                letters = batch["label"].slice(int(first), int(end - first)).to_pylist() if part == 2 else []
+                data = "".join(letters).encode() if part == 2 else codec.pack_many(values[first:end], signed=part == 1)
+                yield pa.RecordBatch.from_pydict({"part": [int(part)], "at": [batch["at"][int(first)].as_py()], "n": [int(end - first)], "units": [sum(1 + (x > "\uffff") for x in letters)], "data": [data]}, schema)
+
+    schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n", pa.int64()), ("units", pa.int64()), ("data", pa.binary())])
+    placed = rows.repartitionByRange("part", "at").sortWithinPartitions("part", "at")
+    pieces = written(placed.mapInArrow(pack, "part int, at bigint, n bigint, units bigint, data binary"), "pieces")
+    sums = {r["part"]: r for r in pieces.groupBy("part").agg(*[F.sum(x).alias(x) for x in ("n", "units")], F.sum(F.length("data")).alias("size")).collect()}  # five rows at most
+    n, m, words = (sums[i]["n"] if i in sums else 0 for i in (0, 1, 4))
+    if sum(r["size"] for r in sums.values()) + 100 > limit:
         raise ValueError("the index is too large for one file")
-    held = nodes.select("order_id", "first_edge", "reachable", "is_terminal").orderBy("order_id").collect()
-    steps = edges.select("edge_id", "dst_order", "label").orderBy("edge_id").collect()
-    counts = [r["freq"] for r in dictionary.select("idx", "freq").orderBy("idx").collect()]
-    ends = {r["order_id"] for r in held if r["is_terminal"]}
-    first = [r["first_edge"] for r in held] + [len(steps)]
-    return file_bytes(first, [-r["dst_order"] if r["dst_order"] in ends else r["dst_order"] for r in steps], "".join(r["label"] for r in steps), [r["reachable"] for r in held], counts)
+    heads = [codec.pack_unsigned(4 * (n + 1) + 4 * m + 2 * m + 2 * n + 8 * words) + codec.pack_signed(0) + codec.pack_unsigned(n + 1) + codec.pack_unsigned(0), codec.pack_unsigned(m)]
+    heads += [codec.pack_unsigned(sums[2]["size"] if m else 0) + codec.pack_unsigned(sums[2]["units"] if m else 0), codec.pack_unsigned(n), codec.pack_unsigned(words)]
+    for part, head in enumerate(heads):
+        yield head
+        if part in sums:
+            for r in pieces.where(F.col("part") == part).select("at", "data").orderBy("at").toLocalIterator():
+                yield bytes(r["data"])
+
+
+def export_file(nodes: DataFrame, edges: DataFrame, dictionary: DataFrame) -> bytes:
+    """export_pieces() as one value in the driver, for small indexes; write_file() takes the pieces of large ones."""
+    return b"".join(export_pieces(nodes, edges, dictionary))
 
 
-def write_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Writes one file, in place of what is there, to any store that Spark reaches."""
+def write_file(spark: SparkSession, path: str, data: bytes | Iterable[bytes]) -> None:
+    """Writes one file, in place of what is there, to any store that Spark reaches. Data may come in pieces."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out, held = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True), bytearray()
     try:
-        for i in range(0, len(data), 1 << 20):
-            out.write(data[i : i + (1 << 20)])
+        for piece in [data] if isinstance(data, bytes) else data:
+            held += piece
+            for i in range(0, len(held) - len(held) % (1 << 20), 1 << 20):
+                out.write(bytes(held[i : i + (1 << 20)]))
+            del held[: len(held) - len(held) % (1 << 20)]
+        out.write(bytes(held))
     finally:
         out.close()
 
 
-def _owners(found: dict) -> list[int]:
-    first, n = found["first_edges"], len(found["targets"])
-    return [i for i in range(len(first)) for _ in range((first[i + 1] if i + 1 < len(first) else n) - first[i])]
+def parse_arrays(data: bytes | memoryview) -> dict:
+    """parse_file() with arrays, and labels as code points."""
+    held, at = np.frombuffer(data, np.uint8), codec.Cursor(data)
+    found: dict = {"size": at.unsigned(), "root": at.signed()}
+
+    def numbers(signed: bool = False) -> np.ndarray:
+        n = at.unsigned()
+        values, at.at = codec.unpack_many(held, at.at, n, signed)
+        return values
+
+    found["first_edges"] = np.cumsum(numbers())
+    found["targets"] = numbers(signed=True)
+    found["labels"] = np.frombuffer(at.text().encode("utf-32-le"), np.uint32)
+    found["reachable"], found["counts"] = numbers(), numbers()
+    return found
+
+
+def _ends(found: dict) -> np.ndarray:
+    return np.append(found["first_edges"][1:], len(found["targets"]))
 
 
 def import_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, order_id, edge_id, dst_order, is_terminal, label) of every edge in binary files; each file is read in one task."""
-    names = ["path", "order_id", "edge_id", "dst_order", "is_terminal", "label"]
 
-    def rows(name: str, found: dict) -> Iterator[tuple]:
-        for i, (owner, target, label) in enumerate(zip(_owners(found), found["targets"], found["labels"])):
-            yield name, owner, i, abs(target), target < 0, label
+    def rows(found: dict) -> Iterator[dict]:
+        owners = np.repeat(np.arange(len(found["first_edges"])), _ends(found) - found["first_edges"])
+        for i in range(0, len(owners), SLICE):
+            target, letters = found["targets"][i : i + SLICE], found["labels"][i : i + SLICE].tobytes().decode("utf-32-le")
+            yield {"order_id": owners[i : i + SLICE], "edge_id": np.arange(i, i + len(target)), "dst_order": np.abs(target), "is_terminal": target < 0, "label": [*letters]}
 
-    return _read_files(spark, path, names, rows, "path string, order_id bigint, edge_id bigint, dst_order bigint, is_terminal boolean, label string")
+    return _read_files(spark, path, rows, "order_id bigint, edge_id bigint, dst_order bigint, is_terminal boolean, label string")
 
 
 def import_nodes(spark: SparkSession, path: str) -> DataFrame:
     """(path, order_id, first_edge, degree, reachable) of every node in binary files."""
 
-    def rows(name: str, found: dict) -> Iterator[tuple]:
-        ends = [*found["first_edges"][1:], len(found["targets"])]
-        for i, (first, end, n) in enumerate(zip(found["first_edges"], ends, found["reachable"])):
-            yield name, i, first, end - first, n
+    def rows(found: dict) -> Iterator[dict]:
+        n = len(found["reachable"])
+        degree = _ends(found)[:n] - found["first_edges"][:n]
+        for i in range(0, n, SLICE):
+            own = slice(i, min(n, i + SLICE))
+            yield {"order_id": np.arange(own.start, own.stop), "first_edge": found["first_edges"][own], "degree": degree[own], "reachable": found["reachable"][own]}
 
-    return _read_files(spark, path, ["path", "order_id", "first_edge", "degree", "reachable"], rows, "path string, order_id bigint, first_edge bigint, degree bigint, reachable bigint")
+    return _read_files(spark, path, rows, "order_id bigint, first_edge bigint, degree bigint, reachable bigint")
 
 
 def import_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(path, term, freq, idx): the words of binary files with their frequencies, ready for lookups.
 
-    Words are met in depth-first order, a word before its extensions, which is the order of the frequencies in the file.
+    A word's place is that in depth-first order, a word before its extensions, which is the order of the frequencies in the file. Nodes' word
+    counts give it without a walk in that order: a slice of paths goes on by a letter at once.
     """
 
-    def rows(name: str, found: dict) -> Iterator[tuple]:
-        first, targets, labels, counts = found["first_edges"], found["targets"], found["labels"], found["counts"]
-        ends, at = [*first[1:], len(targets)], 0
-        todo = [(e, "") for e in reversed(range(first[found["root"]], ends[found["root"]]))] if first else []
+    def rows(found: dict) -> Iterator[dict]:
+        first, ends, targets, counts, below, n = found["first_edges"], _ends(found), found["targets"], found["counts"], found["reachable"], 0
+        # paths of equal length: the node that each ends in, the place of the first word beyond, and the letters
+        todo = [(np.array([found["root"]]), np.zeros(1, np.int64), np.zeros((1, 0), np.uint32))] if len(below) else []
         while todo:
-            edge, before = todo.pop()
-            word, node = before + labels[edge], abs(targets[edge])
-            if targets[edge] < 0:
-                yield name, word, counts[at], at
-                at += 1
-            todo.extend((e, word) for e in reversed(range(first[node], ends[node])))
-        if at != len(counts):
-            raise ValueError(f"{name} has {at} words and {len(counts)} frequencies")
-
-    return _read_files(spark, path, ["path", "term", "freq", "idx"], rows, "path string, term string, freq bigint, idx bigint")
-
-
-def _read_files(spark: SparkSession, path: str, names: list[str], rows: Callable[[str, dict], Iterator[tuple]], schema: str, size: int = 50_000) -> DataFrame:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            node, place, letters = todo.pop()
+            if len(node) > SLICE:
+                todo += [(node[own], place[own], letters[own]) for own in (slice(i, i + SLICE) for i in range(0, len(node), SLICE))]
+                continue
+            degree = ends[node] - first[node]
+            parent, before = np.repeat(np.arange(len(node)), degree), np.cumsum(degree) - degree
+            edge = first[node][parent] + np.arange(len(parent)) - before[parent]
+            target, ending = np.abs(targets[edge]), targets[edge] < 0
+            sums = np.cumsum(below[target]) - below[target]
+            place = place[parent] + sums - sums[np.minimum(before, max(0, len(edge) - 1))][parent] if len(edge) else place[:0]
+            letters = np.concatenate([letters[parent], found["labels"][edge][:, None]], axis=1)
+            at, width = place[ending], letters.shape[1]
+            if len(at) and at.max() >= len(counts):
+                raise ValueError(f"a word has place {at.max()} of {len(counts)} frequencies")
+            text, n = letters[ending].tobytes().decode("utf-32-le"), n + len(at)
+            if len(at):
+                yield {"term": [text[i : i + width] for i in range(0, len(text), width)], "freq": counts[at], "idx": at}
+            more = ends[target] > first[target]
+            if more.any():
+                todo.append((target[more], (place + ending)[more], letters[more]))
+        if n != len(counts):
+            raise ValueError(f"the file has {n} words and {len(counts)} frequencies")
+
+    return _read_files(spark, path, rows, "term string, freq bigint, idx bigint")
+
+
+#: Rows that are made at once.
+SLICE = 50_000
+
+
+def _read_files(spark: SparkSession, path: str, rows: Callable[[dict], Iterator[dict]], fields: str) -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.path, batch.content):
-                made = rows(name, parse_file(data))
-                while held := [*islice(made, size)]:
-                    yield pd.DataFrame(held, columns=names)
+            for name, data in zip(batch["path"].to_pylist(), batch["content"]):
+                for made in rows(parse_arrays(memoryview(data.as_buffer()).cast("B"))):
+                    n = len(next(iter(made.values())))
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([name] * n, pa.string()), **{k: pa.array(v) for k, v in made.items()}})
 
     raw = spark.read.format("binaryFile").load(path).select("path", F.col("content"))
-    return raw.mapInPandas(read, schema)
+    return raw.mapInArrow(read, f"path string, {fields}")
