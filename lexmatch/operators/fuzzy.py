@@ -4,22 +4,30 @@ A lookup of many words is a similarity join. The planner picks how candidates ar
 
 exact      k = 0: an equi-join.
 pairs      for a workload of up to FEW_QUERIES words, which is counted first: it is sent to the dictionary's tasks and met there by
-           length, and the counts of letters, 128 bits to a word, rule out nearly all that is left before a distance is computed.
-           The dictionary is read once and nothing of it moves.
+           length, and the counts of letters, 128 bits to a word, rule out nearly all that is left before a distance is computed. Both are
+           done for whole arrays of words (lexmatch.functions.batches). The dictionary is read once.
 deletions  for larger workloads. Every edit takes at most one letter from either side, so words within k edits share a string left by at most k deletions
-           from each: an equi-join on such strings. For longer words only a prefix of 2k + 3 letters is used, which loses nothing, as
+           from each: an equi-join on hashes of such strings. Up to FEW_KEYS of a workload's are sent to the dictionary's tasks. For longer words only a prefix of 2k + 3 letters is used, which loses nothing, as
            edits that lie beyond it leave it as it is and those within it cost no more there.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmatch.functions import distance
+from lexmatch.functions import batches, distance
 
 FEW_QUERIES = 5_000
+#: Keys of a workload that every task may hold, some 12 bytes each.
+FEW_KEYS = 4_000_000
+_NAMES = ["query", "term", "freq", "distance"]
 
 
 def exact(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -37,44 +45,63 @@ def variants(words: DataFrame, column: str, k: int) -> DataFrame:
     return words.withColumn("key", F.explode(F.transform(distance.deletions(_prefix(F.col(column), k), k), lambda x: F.xxhash64(x))))
 
 
+def _keyed(words: DataFrame, column: str, k: int) -> DataFrame:
+    """words with one row per key of batches.keys(). An Arrow pass, through which no filter moves into what made the words."""
+
+    def make(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for own, key in batches.keys(batches.Words(batch[column].to_pylist()), k):
+                rows = batch.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key.view(np.int64))], [*rows.schema.names, "key"])
+
+    return words.mapInArrow(make, ", ".join(f"{name} {kind}" for name, kind in words.dtypes) + ", key bigint")
+
+
 def _by_deletions(queries: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
     """(query, term, freq), each once, among them all pairs within k edits."""
-    near = variants(dictionary, "term", k).join(variants(queries, "query", k), "key")
+    near = _keyed(dictionary, "term", k).join(_keyed(queries, "query", k), "key")
     # the bound is checked where pairs meet, so that only those within it, few and mostly results, move to become distinct
     return near.where((F.abs(F.length("query") - F.length("term")) <= k) & (_plain(k) <= 2 * k)).select("query", "term", "freq").distinct()
 
 
-def _letters(word: Column, to: str) -> list[Column]:
-    """How often each letter (by its code modulo 32) occurs, up to four times, as 128 bits in two columns; an edit changes two bits at most.
+def _met(words: list[str], dictionary: DataFrame, k: int, by_keys: bool) -> DataFrame:
+    """(query, term, freq, distance) for the words of a workload that was counted: each task gets them all and a part of the dictionary."""
+    # few bytes but much work: spread over all tasks, where adaptive execution would put a small dictionary into one
+    spread = dictionary.select("term", "freq").repartition(int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    A letter's occurrences set one more of its bits each: two in the first column, then two in the second.
-    """
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    def match(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, asked = batches.Words(words), pa.array(words, pa.string())
+        of = batches.Keys(wanted, k).near if by_keys else lambda terms: batches.near(wanted, terms, k)
+        for held in _gathered(found):
+            for q, t, distance in of(batches.Words(held["term"].to_pylist())):
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), held["term"].take(pa.array(t)), held["freq"].take(pa.array(t)), pa.array(distance, pa.int32())], _NAMES)
 
-    def add(bits: Column, c: Column) -> Column:
-        bit = lambda high: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 32 + high)
-        has = lambda column, high: column.bitwiseAND(bit(high)) != 0
-        a, b = bits["a"], bits["b"]
-        first = F.when(~has(a, 0), a.bitwiseOR(bit(0))).otherwise(a.bitwiseOR(bit(32)))
-        second = F.when(~has(a, 32), b).when(~has(b, 0), b.bitwiseOR(bit(0))).otherwise(b.bitwiseOR(bit(32)))
-        return F.struct(first.alias("a"), second.alias("b"))
+    return spread.mapInArrow(match, f"query string, term string, freq {dict(dictionary.dtypes)['freq']}, distance int")
 
-    found = F.aggregate(F.split(word, ""), start, add)
-    return [found["a"].alias(f"{to}_a"), found["b"].alias(f"{to}_b")]
 
+def _gathered(found: Iterator[pa.RecordBatch], rows: int = 1 << 16, size: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in found:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-def _by_pairs(queries: DataFrame, dictionary: DataFrame, k: int) -> DataFrame:
-    """As _by_deletions, for a workload that was counted."""
-    lengths = F.explode(F.sequence(F.greatest(F.lit(0), F.length("query") - k), F.length("query") + k))
-    wanted = queries.select("query", *_letters(F.col("query"), "own"), lengths.alias("n"))
-    # few bytes but much work: spread over all tasks, where adaptive execution would put a small dictionary into one
-    spread = dictionary.repartition(int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    words = spread.select("term", "freq", F.length("term").alias("n"), *_letters(F.col("term"), "term"))
-    apart = F.expr("bit_count(own_a ^ term_a) + bit_count(own_b ^ term_b)")
-    # the distance exceeds the plain one by swaps alone, which leave letters as they are: the fewer letters agree, the less room for them
-    room = F.greatest(F.lit(k), F.lit(2 * k) - F.expr("shiftright(bit_count(own_a ^ term_a) + bit_count(own_b ^ term_b) + 1, 1)"))
-    near = words.join(F.broadcast(wanted), "n").where((apart <= 2 * k) & (_plain(k) <= room))
-    return near.select("query", "term", "freq")
+
+def _measured(near: DataFrame, k: int) -> DataFrame:
+    """(query, term, freq, distance) of the pairs (query, term, freq) within k edits."""
+
+    def measure(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            asked = batch["query"].dictionary_encode()
+            distance = batches.osa(batches.Words(asked.dictionary.to_pylist()), batches.Words(batch["term"].to_pylist()), asked.indices.to_numpy(), np.arange(batch.num_rows))
+            made = pa.RecordBatch.from_arrays([batch["query"], batch["term"], batch["freq"], pa.array(distance, pa.int32())], _NAMES)
+            yield made.filter(pa.array(distance <= k))
+
+    return near.select("query", "term", "freq").mapInArrow(measure, f"query string, term string, freq {dict(near.dtypes)['freq']}, distance int")
 
 
 def _plain(k: int) -> Column:
@@ -93,13 +120,13 @@ def lookup(queries: DataFrame, dictionary: DataFrame, k: int, strategy: str = "a
     dictionary = dictionary.where("term is not null").select("term", "freq")
     if k == 0:
         return exact(queries, dictionary)
-    few = strategy != "deletions" and queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
-    if strategy == "pairs" and not few:
+    few = FEW_QUERIES if strategy != "deletions" else FEW_KEYS // sum(math.comb(batches.prefix(k), i) for i in range(k + 1))
+    words = [x["query"] for x in queries.limit(few + 1).collect()]
+    if len(words) <= few:
+        return _met(words, dictionary, k, by_keys=strategy == "deletions")
+    if strategy == "pairs":
         raise ValueError(f"over {FEW_QUERIES} queries; use deletions")
-    near = _by_pairs(queries, dictionary, k) if few else _by_deletions(queries, dictionary, k)
-    # a generator, through which no filter moves into the join before it: the exact distance is for the few pairs that are left
-    found = F.filter(F.array(distance.within("query", "term", k)), lambda d: d.isNotNull())
-    return near.select("query", "term", "freq", F.explode(found).alias("distance"))
+    return _measured(_by_deletions(queries, dictionary, k), k)
 
 
 class FuzzyDictionary:
