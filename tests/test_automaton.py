@@ -230,3 +230,23 @@ def test_fiedler_vector_fails_loudly_or_tells_parts():
     assert (np.diff(path) > 0).all()
     assert (layout.fiedler(5, np.array([0, 2]), np.array([1, 3]), np.array([1, 1])) < 0).tolist() == [True, True, False, False, False]
     assert layout.fiedler(1, src[:0], src[:0], src[:0]).tolist() == [0]
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_coarsening_in_one_task_and_round_by_round(spark, down):
+    r = random.Random(4)
+    pairs = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(75)})
+    edges, fixed = spark.createDataFrame([(a * 7, b * 7) for a, b in pairs], "src bigint, dst bigint"), spark.createDataFrame([(0,), (7,), (999,)], "node bigint")
+    for degree in (1, 2):
+        one, many = (sorted(map(tuple, layout.coarsen(edges, fixed, degree, down, n).collect())) for n in (100, 0))
+        assert one == many and 0 < len(one) < len(pairs)
+    assert sorted(map(tuple, layout.shrunk(edges, fixed, range(1, 3), down).collect())) == sorted(map(tuple, layout.shrunk(edges, fixed, range(1, 3), down, 0).collect()))
+    none = edges.where("false")
+    assert layout.coarsen(none, fixed, 1, down).isEmpty() and layout.shrunk(none, fixed, range(1, 2), down).first()["n_nodes"] == 3
+
+
+def test_words_are_ranked_without_being_sorted(spark, case):
+    _, held, found = case
+    plan = ordering.word_index(held, found)
+    assert sorted(x["idx"] for x in plan.collect()) == [*range(held.count())]
+    assert found.scores() is found.scores()
