@@ -250,3 +250,18 @@ def test_words_are_ranked_without_being_sorted(spark, case):
     plan = ordering.word_index(held, found)
     assert sorted(x["idx"] for x in plan.collect()) == [*range(held.count())]
     assert found.scores() is found.scores()
+
+
+def test_a_topological_search_draws_pairs_at_once_as_one_by_one():
+    r = random.Random(8)
+    pairs = np.array(sorted({tuple(sorted(r.sample(range(150), 2))) for _ in range(260)}))
+    make = lambda: layout.Problem(150, pairs[:, 0], pairs[:, 1], np.arange(len(pairs)) % 9, np.arange(150) % 3 == 0, np.random.default_rng(2), topological=True)
+    fast, slow = make(), make()
+    slow.kept = False
+    for found in (fast, slow):
+        layout.anneal(found, *layout.schedule("topological", 3000))
+    assert fast.kept and (fast.order == slow.order).all() and (fast.order != np.arange(150)).sum() > 50
+    assert fast.random.bit_generator.state == slow.random.bit_generator.state
+    assert all(fast.low[a] == min([fast.place[y] for x, y in pairs if x == a], default=150) and fast.high[a] == max([fast.place[x] for x, y in pairs if y == a], default=-1) for a in range(150))
+    slow.random = np.random.default_rng(0)
+    assert layout.Problem(3, np.array([0, 1]), np.array([1, 2]), np.ones(2, int), np.zeros(3, bool), slow.random, topological=True).move(70)[2] == float("inf")
